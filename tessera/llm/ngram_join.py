@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Planes, arrow_map, attach_groups, build_planes, mix64, session_of, slices, stash
 from tessera.llm.components import components
@@ -255,6 +256,30 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     return out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
 
 
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in ``gone``: a Bloom filter lets the other rows pass without a shuffle, the rest are decided by a join."""
+    n = gone.count()
+    if not n:
+        return docs
+    size = min(MOST_CELLS, max(64, 16 * n // 8 * 8))
+
+    def hashed(column):
+        x = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return mix64(x), mix64(x + np.uint64(1))
+
+    plane = session_of(docs).sparkContext.broadcast(build_planes(gone.select(F.col("doc_id").cast("long")), lambda b: hashed(b.column(0)), size).once)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"))
+    schema = T.StructType([packed.schema["row"], packed.schema["id"], T.StructField("maybe", T.BooleanType())])
+
+    def probe(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Planes.hit(plane.value, size, *hashed(batch.column(1))))], ["row", "id", "maybe"])
+
+    marked = arrow_map(packed, probe, schema)
+    decided = marked.filter("maybe").join(gone.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    return marked.filter("not maybe").select("row.*").unionByName(decided.select("row.*"))
+
+
 def _members(docs: DataFrame, index: DataFrame, groups: DataFrame, counts: np.ndarray, width: int, limit: Threshold, text: str) -> DataFrame:
     """Rows of ``index`` whose n-gram more than one class has."""
     counted = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()

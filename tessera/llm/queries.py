@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, ngram_join, packing, token_counts
+from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, token_counts
+
+#: Key of the surrogates in these queries; a deployment passes its own secret.
+PII_KEY = b"tessera query key"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~language_id.held_out())
+    got = language_id.predict(docs.select("doc_id", "text"), model).withColumn("doc_id", F.col("row.doc_id"))
+    return got.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_replaced", F.sha2(F.coalesce("new_text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +54,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
