@@ -9,7 +9,7 @@ shuffle.  Only the last sequence can be short, so padding is below one window.
 Ids of ``word_bpe_49k.json``: its pre-tokenizer drops white space and no match
 spans a space or line feed, so the ids of a text are those of its words between
 them in order; words are encoded by the tokenizers library once and remembered
-in a bounded cache.
+in bounded caches.
 
 Defined cases: null text counts as empty and gives the end id alone; null and
 repeated ids are kept as rows of their own; an empty table gives no piece; a
@@ -18,6 +18,7 @@ document longer than a window is cut into as many pieces as it needs.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,7 +33,12 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, word by word, with a cache of two generations of at most ``most`` words each."""
+    """Ids by the tokenizers library, word by word, with caches of two generations of at most ``most`` entries each.
+
+    A word of letters with punctuation behind it is two pre-tokens or one, so the
+    library sees each distinct stem and run of punctuation once.  ASCII stems are
+    looked up in lower case, which the normalizer would make of them anyway.
+    """
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
@@ -40,29 +46,61 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.new, self.old = most, {}, {}
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.most = most
+        self.words, self.old_words, self.stems, self.old_stems = {}, {}, {}, {}
+
+    def _library(self, words: list[str]) -> None:
+        """Stems: letters only, so the library makes one pre-token of each; they go joined by spaces and are told apart by word ends."""
+        for at in range(0, len(words), 50):
+            some = words[at : at + 50]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            stops = [i + 1 for i, x in enumerate(ids) if x in self.ends]
+            if len(stops) == len(some):
+                raw, start = np.array(ids, "<u4").tobytes(), 0
+                for w, stop in zip(some, stops, strict=True):
+                    self.stems[w] = raw[4 * start : 4 * stop]
+                    start = stop
+            else:  # a letter that the normalizer takes apart
+                self._one_by_one(some)
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.stems[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new, old = self.new, self.old
-        if len(new) > self.most:
-            new, old = {}, new
-            self.new, self.old = new, old
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
+        if len(self.stems) > self.most:
+            self.stems, self.old_stems = {}, self.stems
         missing = []
-        for w in words - new.keys():
-            if (got := old.get(w)) is not None:
-                new[w] = got
+        for w in words - self.words.keys():
+            if (got := self.old_words.get(w)) is not None:
+                self.words[w] = got
+                continue
+            stem = w.rstrip(".,;:!?")
+            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+                missing.append((w, stem.lower() if stem.isascii() else stem, w[len(stem) :]))
             else:
-                missing.append(w)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
+                missing.append((w, w, ""))
+        letters, others = [], []
+        for x in {x for _, stem, tail in missing for x in (stem, tail)} - self.stems.keys():
+            if (got := self.old_stems.get(x)) is not None:
+                self.stems[x] = got
+            else:
+                (letters if x.isalpha() else others).append(x)
+        self._library(letters)
+        self._one_by_one(others)
+        for w, stem, tail in missing:
+            self.words[w] = self.stems[stem] + self.stems[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn({w for p in parts for w in p})
-        get = self.new.__getitem__
+        self.learn(set().union(*parts))
+        get = self.words.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 

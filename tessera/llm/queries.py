@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, token_counts
+from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, token_counts, toxicity
 
 #: Key of the surrogates in these queries; a deployment passes its own secret.
 PII_KEY = b"tessera query key"
@@ -51,6 +51,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -59,4 +65,5 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
 }
