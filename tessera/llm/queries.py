@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, token_counts, toxicity
+from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity
 
 #: Key of the surrogates in these queries; a deployment passes its own secret.
 PII_KEY = b"tessera query key"
@@ -57,6 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,4 +71,5 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
