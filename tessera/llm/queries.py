@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language_id, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity
+from tessera.llm import bm25, bpe, exact_dedup, language_id, ngram_join, packing, pii, suffix_dedup, token_counts, toxicity
 
 #: Key of the surrogates in these queries; a deployment passes its own secret.
 PII_KEY = b"tessera query key"
@@ -33,6 +33,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, by its 16 rarest terms, against all documents."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    index = bm25.build_index(docs)
+    found = bm25.search(index, bm25.query_terms(docs, index, F.col("doc_id") % 20 == 0))
+    return found.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
     return got.select(F.col("row.doc_id").alias("doc_id"), "n_replaced", F.sha2(F.coalesce("new_text", F.lit("")), 256).alias("text_sha256"))
@@ -66,6 +74,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_bm25": op4_bm25,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
