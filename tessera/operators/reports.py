@@ -15,19 +15,19 @@ def nearest_rank(samples: DataFrame, keys: list[str], value: str, percents: list
     Values are counted first and only distinct ones are ranked, in a window per key, so no
     list of all values of a key is ever built.
     """
-    counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
+    counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*keys)
-    c = counts.withColumn("upto", F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    at = lambda p: F.least(F.col("n") - 1, F.expr(f"n * {p} div 100"))
-    return c.groupBy(*keys).agg(F.max("n").alias("samples"), *[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    c = counts.withColumn("_upto", F.sum("_k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(w))
+    at = lambda p: F.least(F.col("_n") - 1, F.expr(f"_n * {p} div 100"))
+    return c.groupBy(*keys).agg(F.max("_n").alias("samples"), *[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def upper_median(samples: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
-    """Value at n div 2 of the sorted positive ones; null below ``least`` samples."""
-    counts = samples.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
+    """Value at _n div 2 of the sorted positive ones; null below ``least`` samples."""
+    counts = samples.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*keys)
-    c = counts.withColumn("upto", F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    return c.groupBy(*keys).agg(F.max("n").alias("samples"), F.when(F.max("n") >= least, F.min(F.when(F.col("upto") > F.expr("n div 2"), F.col(value)))).alias("median"))
+    c = counts.withColumn("_upto", F.sum("_k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(w))
+    return c.groupBy(*keys).agg(F.max("_n").alias("samples"), F.when(F.max("_n") >= least, F.min(F.when(F.col("_upto") > F.expr("_n div 2"), F.col(value)))).alias("median"))
 
 
 def in_phases(samples: DataFrame, phases: list[tuple[str, int, int]], t: str = "t") -> DataFrame:
