@@ -7,6 +7,7 @@ counts), one entry per node.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,19 +127,19 @@ def reconcile(reports: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         led = Ledger()
         if state.exists:
-            led.incarnation, led.full, chunks, seqs, there, held = state.get
-            led.marks, led.held = dict(zip(chunks, zip(seqs, there, strict=True), strict=True)), set(held)
+            (text,) = state.get  # nested state goes as JSON
+            led.incarnation, led.full, marks, held = json.loads(text)
+            led.marks, led.held = {c: (seq, there) for c, seq, there in marks}, set(held)
         for batch in batches:
             out = []
             for r in batch.sort_values("t", kind="stable").itertuples(index=False):
                 plus, minus = led.report(r.incarnation, r.seq, bool(r.is_full), list(r.added), list(r.deleted))
                 out += [(key[0], r.seq, c, "added") for c in sorted(plus)] + [(key[0], r.seq, c, "removed") for c in sorted(minus)]
             yield pd.DataFrame(out, columns=["node", "seq", "chunk", "change"])
-        marks = list(led.marks.items())
-        state.update((led.incarnation, led.full, [c for c, _ in marks], [m[0] for _, m in marks], [m[1] for _, m in marks], sorted(led.held)))
+        state.update((json.dumps([led.incarnation, int(led.full), [[int(c), int(m[0]), m[1]] for c, m in led.marks.items()], sorted(map(int, led.held))]),))
 
     return reports.select("node", "incarnation", "seq", "is_full", "added", "deleted", "t").groupBy("node").applyInPandasWithState(
-        step, "node long, seq long, chunk long, change string", "incarnation string, full long, chunks array<long>, seqs array<long>, there array<boolean>, held array<long>", "append", GroupStateTimeout.NoTimeout
+        step, "node long, seq long, chunk long, change string", "ledger string", "append", GroupStateTimeout.NoTimeout
     )
 
 
