@@ -48,9 +48,10 @@ from tessera.llm.common import Planes, arrow_map, build_planes, flat_bytes, mix6
 
 LENGTH, K = 50, 16
 REACH = LENGTH - K  # bytes of a window before or behind its anchor
-ENTRIES, HOT, STRINGS = 1_000_000, 256, 20_000
+ENTRIES, HOT, STRINGS = 400_000, 4_000, 4_000
 MOST_CELLS = 1 << 26
-SLICE = 1 << 20
+#: Bytes hashed at once, of one text at once, and combined before entries are sent.
+SLICE, RUN, FLUSH = 1 << 20, 1 << 22, 1 << 23
 
 _VALUE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
 _BASE = 0x9E3779B97F4A7C15
@@ -75,7 +76,7 @@ class Hasher:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the flat data, text, anchor hash, neighbourhood hash) of all anchors of all texts; at most 16 MB at once."""
+    """(place in the flat data, text, anchor hash, neighbourhood hash) of all anchors of all texts; fewer than 16 MB at once."""
     n = len(data)
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
@@ -184,55 +185,61 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
     """Steps 1 and 2: FOUND rows."""
 
     def run(it):
+        held, size = [], 0
         for batch in it:
-            docs_, keys, hs, cs, places, stops = [], [], [], [], [], []
             for some in slices(batch, 1, SLICE):
                 data, offsets = flat_bytes(some.column(1))
                 doc, key = some.column(0).to_numpy(zero_copy_only=False), text_key(some.column(1))
-                for lo in range(0, 1) if len(data) <= 1 << 23 else _long(len(data)):
-                    # a text above 8 MB is taken in runs that overlap by a window
-                    piece = data if len(data) <= 1 << 23 else data[lo : lo + (1 << 23)]
-                    ends = offsets if len(data) <= 1 << 23 else np.array([0, len(piece)])
+                for lo in [0] if len(data) <= RUN else range(0, max(1, len(data) - LENGTH + 1), RUN - LENGTH + 1):
+                    # a longer text is taken in runs that overlap by a window
+                    piece = data if len(data) <= RUN else data[lo : lo + RUN]
+                    ends = offsets if len(data) <= RUN else np.array([0, len(piece)])
                     place, of, h, c = anchors(piece, ends)
-                    docs_.append(doc[of].astype(np.int64))
-                    keys.append(key[of])
-                    hs.append(h)
-                    cs.append(c)
-                    places.append(place - ends[of] + lo)
-                    stops.append(np.stack([np.maximum(place - REACH, ends[of]), np.minimum(place + LENGTH, ends[of + 1])], axis=1) - ends[of][:, None] + lo)
-            if not docs_:
-                continue
-            doc, key, h, c, place, span = (np.concatenate(x) for x in (docs_, keys, hs, cs, places, stops))
-            order = np.lexsort((doc, c, h))
-            new = _first_of(order, h, c)
-            least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
-            again = order[doc[order] > least]
-            if len(again):
-                got = _found(doc[again], key[again], 1, span[again])
-                yield _rows(-1 - (got.column(0).to_numpy() % parts), [_pack(np.array([d], "<i8"), np.array([k], "<i8"), np.frombuffer(p.as_buffer(), np.uint8)) for d, k, p in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(3), strict=True)], 1)
-            mine = order[doc[order] == least]
-            # anchors with very many neighbourhoods are compared window by window later, wherever they stand
-            fresh = _first_of(mine, h)
-            group = np.cumsum(fresh) - 1
-            hot = np.bincount(group)[group] > HOT if len(mine) else np.zeros(0, bool)
-            if hot.any():
-                some = mine[hot]
-                got = _found(doc[some], key[some], 3, place[some][:, None])
-                yield _rows(-1 - (got.column(0).to_numpy() % parts), [_pack(np.array([d], "<i8"), np.array([k], "<i8"), np.frombuffer(p.as_buffer(), np.uint8)) for d, k, p in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(3), strict=True)], 3)
-            marks = mine[hot & fresh]
-            sent = np.concatenate([mine[~hot], marks])
-            flag = np.concatenate([np.zeros((~hot).sum(), np.uint8), np.ones(len(marks), np.uint8)])
-            part = (h[sent] >> np.uint64(32)).astype(np.int64) % parts
-            by = np.argsort(part, kind="stable")
-            sent, flag, part = sent[by], flag[by], part[by]
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0])) if len(part) else np.zeros(0, np.int64)
-            for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
-                s = sent[a:b][np.lexsort((place[sent[a:b]], key[sent[a:b]], doc[sent[a:b]]))]
-                f = flag[a:b][np.lexsort((place[sent[a:b]], key[sent[a:b]], doc[sent[a:b]]))]
-                lead = _first_of(np.arange(len(s)), doc[s], key[s])
-                p = place[s].astype("<u4")
-                # columns apart, so that equal high halves and flags compress away
-                yield _rows(part[a : a + 1], [_pack(doc[s][lead], key[s][lead], np.diff(np.append(np.flatnonzero(lead), len(s))).astype("<u4"), h[s].astype("<u4"), c[s], (p & 0xFFFF).astype("<u2"), (p >> 16).astype("<u2"), f)], 0)
+                    at = place - ends[of] + lo
+                    # a neighbourhood cut by the end of a run equals no other, so its windows are compared one by one
+                    cut = ((place < REACH) & (lo > 0)) | ((place + LENGTH > len(piece)) & (lo + len(piece) < len(data)) & (len(data) > RUN))
+                    c = np.where(cut, mix64(key[of].view(np.uint64) ^ mix64(at.astype(np.uint64))), c)
+                    span = np.stack([np.maximum(place - REACH, ends[of]), np.minimum(place + LENGTH, ends[of + 1])], axis=1) - ends[of][:, None] + lo
+                    held.append((doc[of].astype(np.int64), key[of], h, c, at, span))
+                    size += len(piece)
+                    if size >= FLUSH:
+                        yield from flush(held)
+                        held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held):
+        doc, key, h, c, place, span = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((doc, c, h))
+        new = _first_of(order, h, c)
+        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
+        again = order[doc[order] > least]
+        if len(again):
+            got = _found(doc[again], key[again], 1, span[again])
+            yield _rows(-1 - (got.column(0).to_numpy() % parts), [_pack(np.array([d], "<i8"), np.array([k], "<i8"), np.frombuffer(p.as_buffer(), np.uint8)) for d, k, p in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(3), strict=True)], 1)
+        mine = order[doc[order] == least]
+        # anchors with very many neighbourhoods are compared window by window later, wherever they stand
+        fresh = _first_of(mine, h)
+        group = np.cumsum(fresh) - 1
+        hot = np.bincount(group)[group] > HOT if len(mine) else np.zeros(0, bool)
+        if hot.any():
+            some = mine[hot]
+            got = _found(doc[some], key[some], 3, place[some][:, None])
+            yield _rows(-1 - (got.column(0).to_numpy() % parts), [_pack(np.array([d], "<i8"), np.array([k], "<i8"), np.frombuffer(p.as_buffer(), np.uint8)) for d, k, p in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(3), strict=True)], 3)
+        marks = mine[hot & fresh]
+        sent = np.concatenate([mine[~hot], marks])
+        flag = np.concatenate([np.zeros((~hot).sum(), np.uint8), np.ones(len(marks), np.uint8)])
+        part = (h[sent] >> np.uint64(32)).astype(np.int64) % parts
+        by = np.argsort(part, kind="stable")
+        sent, flag, part = sent[by], flag[by], part[by]
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0])) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
+            s = sent[a:b][np.lexsort((place[sent[a:b]], key[sent[a:b]], doc[sent[a:b]]))]
+            f = flag[a:b][np.lexsort((place[sent[a:b]], key[sent[a:b]], doc[sent[a:b]]))]
+            lead = _first_of(np.arange(len(s)), doc[s], key[s])
+            p = place[s].astype("<u4")
+            # columns apart, so that equal high halves and flags compress away
+            yield _rows(part[a : a + 1], [_pack(doc[s][lead], key[s][lead], np.diff(np.append(np.flatnonzero(lead), len(s))).astype("<u4"), h[s].astype("<u4"), c[s], (p & 0xFFFF).astype("<u2"), (p >> 16).astype("<u2"), f)], 0)
 
     sent = arrow_map(docs, run, "part long, kind int, blob binary")
 
@@ -272,10 +279,6 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(reduce, FOUND)
 
 
-def _long(n: int) -> range:
-    return range(0, max(1, n - LENGTH + 1), (1 << 23) - LENGTH + 1)
-
-
 def _suspects(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with its key, and whether the Bloom filter of ``keys`` (doc_id, key) has it."""
     n = keys.count()
@@ -307,7 +310,7 @@ def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
     joined = _suspects(docs, keys).filter("hit").select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]).join(per_doc, ["doc_id", "key"])
 
     def cut(it):
-        for batch in it:
+        for batch in (some for whole in it for some in slices(whole, 2, FLUSH // 2)):
             held: dict[int, list] = {}
             wins: dict[bytes, tuple] = {}
             local: list[tuple[int, int, int]] = []
@@ -406,7 +409,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = marked.filter("hit").join(per_doc, ["doc_id", "key"], "left").select("doc_id", "text", "found")
 
     def finish(it):
-        for batch in it:
+        for batch in (some for whole in it for some in slices(whole, 1)):
             n, gone, runs, kept = [], [], [], []
             for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = t.encode()
