@@ -8,16 +8,16 @@
    n - ceil(t n) + 1 of both.  A set of so few n-grams that any change takes it
    below t has no partner but equal sets.
 3. Rows (n-gram, class, size, position) are shuffled by n-gram; n-grams of one class
-   go.  Within an n-gram and size band, every class is tried against the smallest of
-   the band (length and positional filter); of these partners each class keeps the
-   one with most common prefix n-grams.  Verified links give components.
-4. N-grams whose classes lie in different components still may hide links: all pairs
-   across components that pass the filters are verified, once each.  Pairs inside
+   go.  Within an n-gram and size band, every class is tried against the most
+   central one (length and positional filter); of these partners each class keeps
+   the one with most common prefix n-grams.  Verified links give components.
+4. N-grams whose classes lie in different components still may hide links: pairs
+   across components that pass the length, positional and suffix filters are
+   verified, once each.  The suffix filter cuts both sets in equal hash ranges; the
+   differences of the ranges' counts bound the symmetric difference.  Pairs inside
    a component are never made, so a large family of near copies costs links, not
-   pairs.
-5. Verification cuts both sets in equal hash ranges first: the differences of the
-   ranges' counts bound the symmetric difference (suffix filter); pairs that pass
-   are intersected in full.
+   pairs; n-grams of many classes are compared block by block.
+5. Verification intersects the sets in full.
 
 Scale: what is broadcast is the counter table and Bloom planes, both of fixed
 largest size.  Texts are never shuffled; only sets of classes that have a
@@ -45,7 +45,8 @@ from tessera.llm.shingles import shingle_sets
 BUCKETS = 1 << 18
 #: Largest number of Bloom cells: 8 MB to broadcast.
 MOST_CELLS = 1 << 26
-RANGES = 16
+#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram.
+RANGE_BITS, BLOCK = 7, 2000
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -131,19 +132,18 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold,
     return arrow_map(docs.select(F.col(text).alias("text")), run, "h long, c1 long, c2 long, n int, pos int")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, limit: Threshold, text: str) -> DataFrame:
-    """The pairs (a1, a2, b1, b2, ...) whose sets are similar enough."""
-    spark = session_of(docs)
-    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionAll(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    n = ends.count()
-    if not n:
-        return pairs
+def class_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> DataFrame:
+    """(c1, c2, set, ranges) of the classes in ``wanted``: sorted n-grams as 64-bit numbers, and how many fall in each of 2 ** RANGE_BITS hash ranges.
+
+    Counts stop at 255, which can only make the bound on a difference weaker.
+    """
+    n = wanted.count()
     size = min(MOST_CELLS, max(64, 16 * n // 8 * 8))
 
     def keys(batch):
         return tuple(mix64(batch.column(i).to_numpy().view(np.uint64)) for i in (0, 1))
 
-    plane = spark.sparkContext.broadcast(build_planes(ends, keys, size).once)
+    plane = session_of(docs).sparkContext.broadcast(build_planes(wanted, keys, size).once)
 
     def run(it):
         seen: set = set()
@@ -154,13 +154,18 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, limit: Threshold, text
                 hit = Planes.hit(plane.value, size, *(mix64(np.ascontiguousarray(key[:, i]).view(np.uint64)) for i in (0, 1)))
                 picked = [i for i in np.flatnonzero(hit) if (k := (key[i, 0], key[i, 1])) not in seen and not seen.add(k)]
                 if picked:
-                    yield pa.RecordBatch.from_arrays([pa.array(key[picked, 0]), pa.array(key[picked, 1]), pa.array([sets[i].tobytes() for i in picked], pa.binary())], ["c1", "c2", "set"])
+                    ranges = [np.minimum(np.bincount((sets[i] >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype("u1").tobytes() for i in picked]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[picked, 0]), pa.array(key[picked, 1]), pa.array([sets[i].tobytes() for i in picked], pa.binary()), pa.array(ranges, pa.binary())], ["c1", "c2", "set", "ranges"])
+
+    sets = arrow_map(docs.select(F.col(text).alias("text")), run, "c1 long, c2 long, set binary, ranges binary")
+    return stash(sets.join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("set").alias("set"), F.first("ranges").alias("ranges")), "sets")
 
-    sets = arrow_map(docs.select(F.col(text).alias("text")), run, "c1 long, c2 long, set binary").join(ends, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("set").alias("set"))
-    sets = stash(sets, "sets", "lz4")
-    with_a = pairs.join(sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("set").alias("set_a")), ["a1", "a2"])
-    with_both = with_a.join(sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("set").alias("set_b")), ["b1", "b2"])
-    cuts = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
+
+def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a1, a2, b1, b2) whose sets are similar enough."""
+    side = lambda x: sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}"))
+    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
         need = limit.overlap(len(a), len(b))
@@ -174,38 +179,86 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, limit: Threshold, text
 
     def check(it):
         for batch in it:
-            a, b = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(ok, pa.bool_()))
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(with_both.select("a1", "a2", "b1", "b2", "set_a", "set_b"), check, "a1 long, a2 long, b1 long, b2 long")
+    return arrow_map(both.select("a1", "a2", "b1", "b2", "set_a", "set_b"), check, "a1 long, a2 long, b1 long, b2 long")
 
 
 def across(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of different components that share an n-gram and pass the length and positional filter.
+    """Pairs (a1, a2, b1, b2) of different components that share an n-gram and pass the length, positional and suffix filters, once each.
 
-    ``rows`` (h, n, c1, c2, pos, component) come grouped by h and sorted by n; a
-    window of the classes that are not too small is held, nothing else.
+    ``rows``: (h, c1, c2, n, pos, component, ranges, grams), grams being the low
+    32 bits of all prefix n-grams of the class.  A pair is made only at its
+    smallest common one (should two n-grams agree in these bits, twice; a
+    distinct follows).  N-grams of more than BLOCK classes are dealt in pairs of
+    blocks, so no task holds more than two blocks of classes.
     """
+    sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    parts = int(session_of(rows).conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("h", "i", "j", "own", "n", "c1", "c2", "pos", "component", "ranges", "grams")
+    dealt = dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
+
+    def compare(group: list[tuple], h: int, i: int, j: int) -> list[tuple[int, int, int, int]]:
+        own, n, c1, c2, pos, comp = (np.array([x[k] for x in group]) for k in range(6))
+        ranges = np.stack([np.frombuffer(x[6], "u1") for x in group]).astype(np.int32)
+        out = []
+        for k in range(1, len(group)):  # sorted by n: partners before k are no larger
+            lo = int(np.searchsorted(n, -(-limit.percent * n[k] // 100)))
+            if lo >= k:
+                continue
+            need = limit.overlap(n[lo:k], n[k])
+            ok = (comp[lo:k] != comp[k]) & (1 + np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) - 1 >= need)
+            if i != j:
+                ok &= own[lo:k] != own[k]
+            near = lo + np.flatnonzero(ok)
+            if len(near):
+                apart = np.abs(ranges[near] - ranges[k]).sum(axis=1)  # suffix filter
+                near = near[apart <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
+            for m in near.tolist():
+                common = np.intersect1d(grams(group[m]), grams(group[k]), assume_unique=True)
+                if len(common) and common[0] == h & 0xFFFFFFFF:
+                    a, b = (c1[m], c2[m]), (c1[k], c2[k])
+                    out.append((*a, *b) if a < b else (*b, *a))
+        return out
+
+    def grams(row):
+        return np.frombuffer(row[7], "<u4")
 
     def run(it):
-        held, last = [], None
+        group, last = [], None
         for batch in it:
-            out: list[tuple] = []
-            for h, n, c1, c2, pos, comp in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if h != last:
-                    held, last = [], h
-                elif held and 100 * held[0][0] < limit.percent * n:
-                    held = [x for x in held if 100 * x[0] >= limit.percent * n]
-                for m, d1, d2, other, at in held:
-                    if other != comp and 1 + min(n - pos - 1, m - at - 1) >= limit.overlap(n, m):
-                        out.append((d1, d2, c1, c2) if (d1, d2) < (c1, c2) else (c1, c2, d1, d2))
-                held.append((n, c1, c2, comp, pos))
-            if out:
-                out = list(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["a1", "a2", "b1", "b2"])
-
-    return arrow_map(rows.select("h", "n", "c1", "c2", "pos", "component"), run, "a1 long, a2 long, b1 long, b2 long").distinct()
+            out = []
+            for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(11)), strict=True):
+                if (h, i, j) != last:
+                    if len(group) > 1:
+                        out += compare(group, *last)
+                    group, last = [], (h, i, j)
+                group.append(row)
+            yield _pairs(out)
+        if len(group) > 1:
+            yield _pairs(compare(group, *last))
+
+    return arrow_map(dealt, run, "a1 long, a2 long, b1 long, b2 long").distinct()
+
+
+def _carried(central: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c1, c2, ranges, grams) as packed bytes: what comparisons need of a class beside its row."""
+
+    def run(it):
+        for batch in it:
+            grams = [np.unique(np.array(x, np.int64).astype("<u4")).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], ["c1", "c2", "ranges", "grams"])
+
+    both = sets.select("c1", "c2", "ranges").join(central.select("c1", "c2", "grams"), ["c1", "c2"]).select("c1", "c2", "ranges", "grams")
+    return stash(arrow_map(both, run, "c1 long, c2 long, ranges binary, grams binary"), "carried")
+
+
+def _pairs(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["a1", "a2", "b1", "b2"])
 
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,16 +273,21 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     groups = stash(index.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members"), "ngrams")
     shared = _members(docs, index, groups, counts, width, limit, text)
 
-    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    shared = shared.withColumn("band", band)
-    leaders = shared.groupBy("h", "band").agg(F.min(F.struct("n", "c1", "c2", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sets = class_sets(docs, stash(shared.select("c1", "c2").distinct(), "wanted"), width, text)
+
+    # central classes, of whose prefix most n-grams are shared, are tried first: the least edited text of a family links most others
+    shared = shared.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int"))
+    central = shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central"), F.sort_array(F.collect_list("h")).alias("grams"))  # as many as the prefix
+    central = stash(central, "central")
+    led = shared.join(central.select("c1", "c2", "central"), ["c1", "c2"])
+    leaders = led.groupBy("h", "band").agg(F.max(F.struct("central", "n", "c1", "c2", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = stash(leaders, "leaders")
     tried = attach_groups(shared, leaders, ["h", "band"], "size", shared.count()).filter("first is not null")
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("first.n")) / F.lit(100.0 + percent) - 1e-9)
     tried = tried.filter((F.col("first.c1") != F.col("c1")) | (F.col("first.c2") != F.col("c2"))).filter(F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= need)
-    best = tried.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first.c1").alias("a1"), F.col("first.c2").alias("a2")).agg(F.count(F.lit(1)).alias("common"))
-    best = best.groupBy("b1", "b2").agg(F.max(F.struct("common", "a1", "a2")).alias("best")).select(F.col("best.a1").alias("a1"), F.col("best.a2").alias("a2"), "b1", "b2")
-    stars = stash(verify(docs, stash(best, "tried"), width, limit, text), "stars")
+    best = tried.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first.c1").alias("a1"), F.col("first.c2").alias("a2")).agg(F.count(F.lit(1)).alias("common"), F.max("first.central").alias("central"))
+    best = best.groupBy("b1", "b2").agg(F.max(F.struct("common", "central", "a1", "a2")).alias("best")).select(F.col("best.a1").alias("a1"), F.col("best.a2").alias("a2"), "b1", "b2")
+    stars = stash(verify(best, sets, limit), "stars")
 
     def by_rep(pairs):
         ends = pairs.join(classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("rep").alias("a")), ["a1", "a2"])
@@ -243,11 +301,10 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     )
     labelled = stash(shared.join(placed.select("c1", "c2", "component"), ["c1", "c2"]), "labelled")
     mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    open_rows = labelled.join(mixed, "h", "left_semi").select("h", "n", "c1", "c2", "pos", "component")
-    parts = int(session_of(docs).conf.get("spark.sql.shuffle.partitions"))
-    pairs = stash(across(open_rows.repartition(parts, "h").sortWithinPartitions("h", "n", "c1", "c2"), limit), "across")
+    open_rows = labelled.join(mixed, "h", "left_semi").join(_carried(central, sets), ["c1", "c2"])
+    pairs = stash(across(open_rows, limit), "across")
     if not pairs.isEmpty():
-        more = by_rep(verify(docs, pairs, width, limit, text))
+        more = by_rep(verify(pairs, sets, limit))
         found = stash(components(links.unionAll(more)), "components")
     final = stash(classes.join(found, classes.rep == found.node, "left").select("c1", "c2", "n_copies", F.coalesce("component", "rep").alias("component_id")), "final")
 
