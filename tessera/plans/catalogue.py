@@ -337,12 +337,12 @@ def manifest_with_replicas(s, d):
     return cluster.manifest(T.version_chunks(s, d), T.locations(s, d), T.nodes(s, d))
 
 
-_MARKED = ", marked AS (SELECT DISTINCT id FROM version_chunks WHERE version % 3 = 0 UNION SELECT id FROM version_chunks WHERE version % 31 = 1 UNION SELECT id FROM chunks WHERE id % 6 = 0)"
+_MARKED = ", marked AS (SELECT DISTINCT id FROM version_chunks WHERE version % 97 = 0 UNION SELECT id FROM version_chunks WHERE version % 101 = 1 UNION SELECT id FROM chunks WHERE id % 6 = 0)"
 
 
 def _marked(s, d):
     v = T.version_chunks(s, d)
-    return cluster.marked(v.filter("version % 3 = 0"), v.filter("version % 31 = 1"), T.chunks(s, d).filter("id % 6 = 0"))
+    return cluster.marked(v.filter("version % 97 = 0"), v.filter("version % 101 = 1"), T.chunks(s, d).filter("id % 6 = 0"))
 
 
 @query(f"{_MARKED} SELECT id FROM marked", ("chunks", "version_chunks"))
