@@ -45,8 +45,8 @@ from tessera.llm.shingles import shingle_sets
 BUCKETS = 1 << 18
 #: Largest number of Bloom cells: 8 MB to broadcast.
 MOST_CELLS = 1 << 26
-#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram.
-RANGE_BITS, BLOCK = 7, 2000
+#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram; pairs that a task holds to make each once.
+RANGE_BITS, BLOCK, HELD = 7, 2000, 100_000
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -132,10 +132,21 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold,
     return arrow_map(docs.select(F.col(text).alias("text")), run, "h long, c1 long, c2 long, n int, pos int")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    c = (counts & 15).astype(np.uint8)
+    return (c[::2] << 4 | c[1::2]).tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    raw = np.stack([np.frombuffer(x, np.uint8) for x in blobs])
+    return np.concatenate([raw >> 4, raw & 15], axis=1).astype(np.int16)
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> DataFrame:
     """(c1, c2, set, ranges) of the classes in ``wanted``: sorted n-grams as 64-bit numbers, and how many fall in each of 2 ** RANGE_BITS hash ranges.
 
-    Counts stop at 255, which can only make the bound on a difference weaker.
+    Counts are kept modulo 16, half a byte each: the distance on that circle is
+    never more than the true difference, so the bound holds.
     """
     n = wanted.count()
     size = min(MOST_CELLS, max(64, 16 * n // 8 * 8))
@@ -154,7 +165,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> Dat
                 hit = Planes.hit(plane.value, size, *(mix64(np.ascontiguousarray(key[:, i]).view(np.uint64)) for i in (0, 1)))
                 picked = [i for i in np.flatnonzero(hit) if (k := (key[i, 0], key[i, 1])) not in seen and not seen.add(k)]
                 if picked:
-                    ranges = [np.minimum(np.bincount((sets[i] >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype("u1").tobytes() for i in picked]
+                    ranges = [_packed(np.bincount((sets[i] >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)) for i in picked]
                     yield pa.RecordBatch.from_arrays([pa.array(key[picked, 0]), pa.array(key[picked, 1]), pa.array([sets[i].tobytes() for i in picked], pa.binary()), pa.array(ranges, pa.binary())], ["c1", "c2", "set", "ranges"])
 
     sets = arrow_map(docs.select(F.col(text).alias("text")), run, "c1 long, c2 long, set binary, ranges binary")
@@ -188,10 +199,8 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 def across(rows: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of different components that share an n-gram and pass the length, positional and suffix filters, once each.
 
-    ``rows``: (h, c1, c2, n, pos, component, ranges, grams), grams being the low
-    32 bits of all prefix n-grams of the class.  A pair is made only at its
-    smallest common one (should two n-grams agree in these bits, twice; a
-    distinct follows).  N-grams of more than BLOCK classes are dealt in pairs of
+    ``rows``: (h, c1, c2, n, pos, component, ranges).  A task makes a pair once
+    among HELD pairs, and a distinct follows.  N-grams of more than BLOCK classes are dealt in pairs of
     blocks, so no task holds more than two blocks of classes.
     """
     sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -199,12 +208,12 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     parts = int(session_of(rows).conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("h", "i", "j", "own", "n", "c1", "c2", "pos", "component", "ranges", "grams")
+    dealt = dealt.select("h", "i", "j", "own", "n", "c1", "c2", "pos", "component", "ranges")
     dealt = dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
     def compare(group: list[tuple], h: int, i: int, j: int) -> list[tuple[int, int, int, int]]:
         own, n, c1, c2, pos, comp = (np.array([x[k] for x in group]) for k in range(6))
-        ranges = np.stack([np.frombuffer(x[6], "u1") for x in group]).astype(np.int32)
+        ranges = _unpacked([x[6] for x in group])
         out = []
         for k in range(1, len(group)):  # sorted by n: partners before k are no larger
             lo = int(np.searchsorted(n, -(-limit.percent * n[k] // 100)))
@@ -216,47 +225,32 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
                 ok &= own[lo:k] != own[k]
             near = lo + np.flatnonzero(ok)
             if len(near):
-                apart = np.abs(ranges[near] - ranges[k]).sum(axis=1)  # suffix filter
+                apart = np.abs(ranges[near] - ranges[k])
+                apart = np.minimum(apart, 16 - apart).sum(axis=1)  # suffix filter
                 near = near[apart <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
             for m in near.tolist():
-                common = np.intersect1d(grams(group[m]), grams(group[k]), assume_unique=True)
-                if len(common) and common[0] == h & 0xFFFFFFFF:
-                    a, b = (c1[m], c2[m]), (c1[k], c2[k])
-                    out.append((*a, *b) if a < b else (*b, *a))
+                a, b = (c1[m], c2[m]), (c1[k], c2[k])
+                out.append((*a, *b) if a < b else (*b, *a))
         return out
 
-    def grams(row):
-        return np.frombuffer(row[7], "<u4")
-
     def run(it):
-        group, last = [], None
+        group, last, made = [], None, set()
         for batch in it:
-            out = []
-            for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(11)), strict=True):
+            for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 if (h, i, j) != last:
-                    if len(group) > 1:
-                        out += compare(group, *last)
+                    made.update(compare(group, *last) if len(group) > 1 else ())
                     group, last = [], (h, i, j)
+                    if len(made) >= HELD:
+                        yield _pairs(list(made))
+                        made = set()
                 group.append(row)
-            yield _pairs(out)
-        if len(group) > 1:
-            yield _pairs(compare(group, *last))
+        made.update(compare(group, *last) if len(group) > 1 else ())
+        if made:
+            yield _pairs(list(made))
 
     return arrow_map(dealt, run, "a1 long, a2 long, b1 long, b2 long").distinct()
 
 
-def _carried(central: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c1, c2, ranges, grams) as packed bytes: what comparisons need of a class beside its row."""
-
-    def run(it):
-        for batch in it:
-            grams = [np.unique(np.array(x, np.int64).astype("<u4")).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], ["c1", "c2", "ranges", "grams"])
-
-    both = sets.select("c1", "c2", "ranges").join(central.select("c1", "c2", "grams"), ["c1", "c2"]).select("c1", "c2", "ranges", "grams")
-    return stash(arrow_map(both, run, "c1 long, c2 long, ranges binary, grams binary"), "carried")
-
-
 def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["a1", "a2", "b1", "b2"])
 
@@ -273,13 +267,13 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     groups = stash(index.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members"), "ngrams")
     shared = _members(docs, index, groups, counts, width, limit, text)
 
+    shared = _with_company(shared, percent)
     sets = class_sets(docs, stash(shared.select("c1", "c2").distinct(), "wanted"), width, text)
 
     # central classes, of whose prefix most n-grams are shared, are tried first: the least edited text of a family links most others
-    shared = shared.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int"))
-    central = shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central"), F.sort_array(F.collect_list("h")).alias("grams"))  # as many as the prefix
+    central = shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central"))
     central = stash(central, "central")
-    led = shared.join(central.select("c1", "c2", "central"), ["c1", "c2"])
+    led = shared.join(central, ["c1", "c2"])
     leaders = led.groupBy("h", "band").agg(F.max(F.struct("central", "n", "c1", "c2", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = stash(leaders, "leaders")
     tried = attach_groups(shared, leaders, ["h", "band"], "size", shared.count()).filter("first is not null")
@@ -301,7 +295,7 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     )
     labelled = stash(shared.join(placed.select("c1", "c2", "component"), ["c1", "c2"]), "labelled")
     mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    open_rows = labelled.join(mixed, "h", "left_semi").join(_carried(central, sets), ["c1", "c2"])
+    open_rows = labelled.join(mixed, "h", "left_semi").join(sets.select("c1", "c2", "ranges"), ["c1", "c2"])
     pairs = stash(across(open_rows, limit), "across")
     if not pairs.isEmpty():
         more = by_rep(verify(pairs, sets, limit))
@@ -337,6 +331,21 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFra
     return marked.filter("not maybe").select("row.*").unionByName(decided.select("row.*"))
 
 
+def _with_company(shared: DataFrame, percent: int) -> DataFrame:
+    """``shared`` with its size band, without rows to whose n-gram no other class of the same or a neighbouring band has.
+
+    Sizes of a pair differ by less than a band, so such a row has no partner.
+    """
+    shared = shared.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int"))
+    counts = shared.groupBy("h", "band").agg(F.count(F.lit(1)).alias("own"))
+    around = counts.select("h", F.explode(F.array(*[F.struct((F.col("band") + k).alias("band"), F.col("own").alias("all"), F.lit(k == 0).alias("here")) for k in (-1, 0, 1)])).alias("x"))
+    around = around.groupBy("h", "x.band").agg(F.sum("x.all").alias("all"), F.sum(F.when(F.col("x.here"), F.col("x.all"))).alias("own")).filter("own is not null and all > 1")
+    around = stash(around, "bands")
+    total = around.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    kept = attach_groups(shared, around.select("h", "band", "own"), ["h", "band"], "own", total).filter("own is not null")
+    return stash(kept.select("h", "c1", "c2", "n", "pos", "band"), "company")
+
+
 def _members(docs: DataFrame, index: DataFrame, groups: DataFrame, counts: np.ndarray, width: int, limit: Threshold, text: str) -> DataFrame:
     """Rows of ``index`` whose n-gram more than one class has."""
     counted = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
