@@ -37,7 +37,7 @@ anything; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +92,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of_byte = np.repeat(np.arange(len(sizes)), sizes)
     first = np.arange(n - LENGTH + 1)
     inside = of_byte[first] == of_byte[first + LENGTH - 1]
-    place = np.unique((low[inside] & np.uint64((1 << 24) - 1)).astype(np.int64))
+    place = (low[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)  # never falls from window to window
+    place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     of = of_byte[place]
     start, stop = np.maximum(place - REACH, offsets[of]), np.minimum(place + LENGTH, offsets[of + 1])
     around = h(start, stop) ^ mix64((place - start).astype(np.uint64) + np.uint64(77))
@@ -117,7 +118,7 @@ def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size = np.bincount(pointer)
         live = np.flatnonzero(size[pointer] > 1)
         pair = pointer[live] * np.int64(n + 2) + later[live]
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)  # ties are one bucket, so their order is of no matter
         fresh = np.concatenate([[True], np.diff(pair[order]) != 0]) if len(order) else np.zeros(0, bool)
         own = pointer[live][order]
         head = np.concatenate([[True], np.diff(own) != 0]) if len(order) else np.zeros(0, bool)
@@ -181,6 +182,37 @@ def _first_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _dealt(found: list[tuple], parts: int) -> pa.Table:
+    """(part, blob) of found entries (doc, key, kind, two numbers), packed for ``parts`` groups of documents: rows do not multiply with the number of tasks."""
+    out: dict[str, list] = {"part": [], "blob": []}
+    if found:
+        doc, key, kind, x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        part = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((x, kind, key, doc, part))
+        cut = np.flatnonzero(_first_of(order, part))
+        for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            o = order[i:j]
+            out["part"].append(int(part[o[0]]))
+            out["blob"].append(_pack(doc[o], key[o], kind[o], x[o], y[o]))
+    return pa.table({"part": pa.array(out["part"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row per document and kind."""
+    packs = [_unpack(x, ("<i8", "<i8", "u1", "<u4", "<u4")) for x in table.column("blob").to_pylist()]
+    doc, key, kind, x, y = (np.concatenate(z) for z in zip(*packs, strict=True))
+    order = np.lexsort((x, kind, key, doc))
+    cut = np.flatnonzero(_first_of(order, doc, key, kind))
+    out: tuple[list, ...] = ([], [], [], [])
+    for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        o = order[i:j]
+        k = int(kind[o[0]])
+        places = np.stack([x[o], y[o]], axis=1) if k == 1 else x[o]
+        for column, value in zip(out, (int(doc[o[0]]), int(key[o[0]]), k, np.ascontiguousarray(places).tobytes()), strict=True):
+            column.append(value)
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "key", "kind", "places"), out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+
+
 def repeats(docs: DataFrame, parts: int) -> DataFrame:
     """Steps 1 and 2: FOUND rows."""
 
@@ -244,11 +276,16 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
     sent = arrow_map(docs, run, "part long, kind int, blob binary")
 
     def reduce(table: pa.Table) -> pa.Table:
-        out, packs = [], []
+        found, packs = [], []
+
+        def add(doc, key, kind, a, b):
+            found.append((doc, key, np.full(len(doc), kind, "u1"), a.astype("<u4"), b.astype("<u4")))
+
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
             if kind:
-                d, k, p = _unpack(blob, ("<i8", "<i8", "u1"))
-                out.append(pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array([kind], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["doc_id", "key", "kind", "places"]))
+                d, k, p = _unpack(blob, ("<i8", "<i8", "<u4"))
+                p = p.reshape(-1, 2) if kind == 1 else np.stack([p, p], axis=1)
+                add(np.repeat(d, len(p)), np.repeat(k, len(p)), kind, p[:, 0], p[:, 1])
             else:
                 packs.append(_unpack(blob, ("<i8", "<i8", "<u4", "<u4", "<u8", "<u2", "<u2", "u1")))
         if packs:
@@ -270,13 +307,12 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
             whole = (d > least) & (flag[order] == 0)
             is_open = ~whole & ((lo < hi) | marked)[group] & ((kinds > 1) | marked)[group] & (flag[order] == 0)
             is_hot = is_open & ((kinds > HOT) | marked)[group]
-            for kind, mask in ((1, whole), (2, is_open & ~is_hot), (3, is_hot)):
+            for kind, mask in ((4, whole), (2, is_open & ~is_hot), (3, is_hot)):
                 some = order[mask]
-                if len(some):
-                    out.append(_found(doc[some], key[some], 4 if kind == 1 else kind, place[some][:, None]))
-        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("places", pa.binary())]))
+                add(doc[some], key[some], kind, place[some], place[some])
+        return _dealt(found, parts)
 
-    return sent.groupBy("part").applyInArrow(reduce, FOUND)
+    return sent.groupBy("part").applyInArrow(reduce, "part long, blob binary").groupBy("part").applyInArrow(_gather, FOUND)
 
 
 def _suspects(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -299,7 +335,11 @@ def _suspects(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, text string, key long, hit boolean")
 
 
-def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
+def _deal(x: bytes) -> int:
+    return zlib.crc32(x) * 0x9E3779B97F4A7C15 >> 20 & 0xFFFFFFFF
+
+
+def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
     """Step 3: FOUND rows of kind 1 from the open anchors (doc_id, key, kind, places)."""
     keys = stash(opened.select("doc_id", "key").distinct(), "open_keys")
     n = opened.agg(F.coalesce(F.sum(F.length("places") / 4), F.lit(0))).first()[0]
@@ -320,7 +360,7 @@ def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     for p in np.frombuffer(f["places"], "<u4").astype(int):
                         lo, hi = max(0, p - REACH), min(len(raw), p + LENGTH)
                         if f["kind"] == 2:
-                            part = int.from_bytes(hashlib.blake2b(raw[p : p + K], digest_size=6).digest(), "big") % parts
+                            part = _deal(raw[p : p + K]) % parts
                             held.setdefault(part, []).append((doc, key, lo, raw[lo:hi]))
                         else:
                             for at in range(lo, hi - LENGTH + 1):
@@ -333,10 +373,10 @@ def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
                                 elif doc > old[0]:
                                     local.append((doc, key, at))
                                 else:
-                                    part = int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big") % parts
+                                    part = _deal(w) % parts
                                     held.setdefault(part, []).append((doc, key, at, w))
             for w, (doc, key, at) in wins.items():
-                part = int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big") % parts
+                part = _deal(w) % parts
                 held.setdefault(part, []).append((doc, key, at, w))
             if local:
                 yield _strings(-1, [(d, k, a, b"") for d, k, a in local])
@@ -351,8 +391,7 @@ def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
         packs = [_unpack(b, ("<i8", "<i8", "<u4", "<u4", "u1")) for b in table.column("blob").to_pylist()]
         doc, key, at, size, data = (np.concatenate([p[i] for p in packs]) for i in range(5))
         if not len(data):  # decided already
-            spans = np.stack([at, at + LENGTH], axis=1).astype(np.int64)
-            return pa.Table.from_batches([_found(doc, key, 1, spans)])
+            return _dealt([(doc, key, np.ones(len(doc), "u1"), at, at + np.uint32(LENGTH))], groups)
         size = size.astype(np.int64)
         end = np.cumsum(size)
         of = np.repeat(np.arange(len(size)), size)
@@ -372,9 +411,9 @@ def open_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
         lead[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (p[1:] > p[:-1] + 1)
         first = np.flatnonzero(lead)
         last = np.append(first[1:], len(p)) - 1
-        return pa.Table.from_batches([_found(d[first], k[first], 1, np.stack([p[first], p[last] + LENGTH], axis=1))]) if len(p) else pa.Table.from_batches([], pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("places", pa.binary())]))
+        return _dealt([(d[first], k[first], np.ones(len(first), "u1"), p[first].astype("<u4"), (p[last] + LENGTH).astype("<u4"))], groups)
 
-    return sent.groupBy("part").applyInArrow(sort, FOUND)
+    return sent.groupBy("part").applyInArrow(sort, "part long, blob binary").groupBy("part").applyInArrow(_gather, FOUND)
 
 
 def _strings(part: int, strings: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -399,7 +438,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, int(size * 2 / (REACH + 2)) // ENTRIES)
     found = stash(repeats(rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), parts), "repeats")
-    edges = open_spans(rows, found.filter("kind in (2, 3)"))
+    edges = open_spans(rows, found.filter("kind in (2, 3)"), parts)
     spans = stash(found.filter("kind in (1, 4)").unionByName(edges), "spans")
     keys = stash(spans.select("doc_id", "key").distinct(), "span_keys")
     per_doc = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
