@@ -13,7 +13,7 @@
    the one with most common prefix n-grams.  Verified links give components.
 4. N-grams whose classes lie in different components still may hide links: pairs
    across components that pass the length, positional and suffix filters are
-   verified, once each.  The suffix filter cuts both sets in equal hash ranges; the
+   verified, once each, the nearest of each class first.  The suffix filter cuts both sets in equal hash ranges; the
    differences of the ranges' counts bound the symmetric difference.  Pairs inside
    a component are never made, so a large family of near copies costs links, not
    pairs; n-grams of many classes are compared block by block.
@@ -45,8 +45,9 @@ from tessera.llm.shingles import shingle_sets
 BUCKETS = 1 << 18
 #: Largest number of Bloom cells: 8 MB to broadcast.
 MOST_CELLS = 1 << 26
-#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram; pairs that a task holds to make each once.
-RANGE_BITS, BLOCK, HELD = 7, 2000, 100_000
+#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram; pairs that a task holds to make each once;
+#: classes (16 bytes each) that may be broadcast.
+RANGE_BITS, BLOCK, HELD, FEW = 8, 2000, 100_000, 100_000
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -174,6 +175,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> Dat
 
 def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs (a1, a2, b1, b2) whose sets are similar enough."""
+    pairs = pairs.select("a1", "a2", "b1", "b2")
+    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionAll(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
+    if ends.count() <= FEW:  # sets of other classes need not move
+        sets = sets.join(F.broadcast(ends), ["c1", "c2"], "left_semi")
     side = lambda x: sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}"))
     both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
@@ -197,7 +202,7 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def across(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of different components that share an n-gram and pass the length, positional and suffix filters, once each.
+    """Pairs (a1, a2, b1, b2, apart) of different components that share an n-gram and pass the length, positional and suffix filters, once each.
 
     ``rows``: (h, c1, c2, n, pos, component, ranges).  A task makes a pair once
     among HELD pairs, and a distinct follows.  N-grams of more than BLOCK classes are dealt in pairs of
@@ -225,12 +230,13 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
                 ok &= own[lo:k] != own[k]
             near = lo + np.flatnonzero(ok)
             if len(near):
-                apart = np.abs(ranges[near] - ranges[k])
-                apart = np.minimum(apart, 16 - apart).sum(axis=1)  # suffix filter
-                near = near[apart <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
+                far = np.abs(ranges[near] - ranges[k])
+                far = np.minimum(far, 16 - far).sum(axis=1)  # suffix filter
+                apart = dict(zip(near.tolist(), far.tolist(), strict=True))
+                near = near[far <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
             for m in near.tolist():
                 a, b = (c1[m], c2[m]), (c1[k], c2[k])
-                out.append((*a, *b) if a < b else (*b, *a))
+                out.append((*a, *b, apart[m]) if a < b else (*b, *a, apart[m]))
         return out
 
     def run(it):
@@ -248,11 +254,11 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
         if made:
             yield _pairs(list(made))
 
-    return arrow_map(dealt, run, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return arrow_map(dealt, run, "a1 long, a2 long, b1 long, b2 long, apart long").distinct()
 
 
 def _pairs(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["a1", "a2", "b1", "b2"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["a1", "a2", "b1", "b2", "apart"])
 
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,8 +304,19 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     open_rows = labelled.join(mixed, "h", "left_semi").join(sets.select("c1", "c2", "ranges"), ["c1", "c2"])
     pairs = stash(across(open_rows, limit), "across")
     if not pairs.isEmpty():
-        more = by_rep(verify(pairs, sets, limit))
-        found = stash(components(links.unionAll(more)), "components")
+        # the nearest partner of each class first: most other pairs are inside one component then
+        nearest = pairs.groupBy("a1", "a2").agg(F.min(F.struct("apart", "b1", "b2")).alias("m")).select("a1", "a2", "m.b1", "m.b2")
+        nearest = nearest.unionByName(pairs.groupBy("b1", "b2").agg(F.min(F.struct("apart", "a1", "a2")).alias("m")).select("m.a1", "m.a2", "b1", "b2")).distinct()
+        nearest = stash(nearest, "nearest")
+        links = stash(links.unionAll(by_rep(verify(nearest, sets, limit))), "links")
+        found = stash(components(links), "components")
+        label = classes.join(found, classes.rep == found.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+        label = stash(label, "labels")
+        side = lambda x: label.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("component").alias(x))
+        rest = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).filter("a <> b").select("a1", "a2", "b1", "b2")
+        rest = stash(rest.join(nearest, ["a1", "a2", "b1", "b2"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            found = stash(components(links.unionAll(by_rep(verify(rest, sets, limit)))), "components")
     final = stash(classes.join(found, classes.rep == found.node, "left").select("c1", "c2", "n_copies", F.coalesce("component", "rep").alias("component_id")), "final")
 
     linked, alone = rows.filter("n > 0 and doc_id is not null"), rows.filter("n = 0 or doc_id is null")
