@@ -33,21 +33,21 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, word by word, with caches of two generations of at most ``most`` entries each.
+    """Ids by the tokenizers library, word by word, with caches of two generations of at most ``words`` words and ``most`` stems each.
 
     A word of letters with punctuation behind it is two pre-tokens or one, so the
     library sees each distinct stem and run of punctuation once.  ASCII stems are
     looked up in lower case, which the normalizer would make of them anyway.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.most = most
+        self.most, self.most_words = most, words
         self.words, self.old_words, self.stems, self.old_stems = {}, {}, {}, {}
 
     def _library(self, words: list[str]) -> None:
@@ -71,7 +71,7 @@ class WordEncoder:
                 self.stems[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > self.most:
+        if len(self.words) > self.most_words:
             self.words, self.old_words = {}, self.words
         if len(self.stems) > self.most:
             self.stems, self.old_stems = {}, self.stems
