@@ -9,7 +9,8 @@ evolve as in isolation until some merge crosses p.  Were there a crossing merge
 the whole text, its two parts would be prefixes of the evolution of the tokens at
 p, in the same relative order as in either chunk, and the chunk would have made
 it too; but it has a boundary there.  If no such boundary exists the overlap is
-doubled, and in the end both chunks are encoded as one.
+doubled, and in the end both chunks are encoded as one, from before the last stable boundary
+(the model puts a space before whatever it encodes) and joined there by the same rule, or from the text's start.
 
 Defined cases: null counts as empty, which has 0 tokens; ids may be null or
 repeat; an empty table gives an empty result; other columns are ignored.
@@ -57,21 +58,37 @@ class Counter:
                 return i, j
         return None
 
+    def _behind(self, text: str, start: int, end: int, last: tuple[int, int], first: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Tokens of text[start:end] behind the stable boundary ``start``, encoded with enough text before it; ``last`` is the
+        token (id, character) that ends there and ``first`` the id that follows.  None if only the text's start is enough."""
+        back = self.overlap
+        while back < start:
+            ids, at = self._part(text, start - back, end)
+            for j in np.flatnonzero(at == start):
+                if j > 1 and ids[j] == first and not self.continues[first] and (int(ids[j - 1]), int(at[j - 1])) == last:
+                    return ids[j:], at[j:]
+            back *= 2
+        return None
+
     def encode_long(self, text: str) -> np.ndarray:
         done: list[np.ndarray] = []
-        start, stop = 0, min(len(text), self.chunk)
+        start, stop, last = 0, min(len(text), self.chunk), (-1, -1)
         now = self._part(text, start, stop)
         while stop < len(text):
             overlap, end = self.overlap, min(len(text), stop + self.chunk)
             while True:
                 begin = max(start, stop - overlap)
                 if begin == start:  # no alignment anywhere: both chunks as one
-                    now = self._part(text, start, end)
+                    joined = self._behind(text, start, end, last, int(now[0][0])) if start else None
+                    if joined is None:
+                        done, start = [], 0
+                    now = joined or self._part(text, 0, end)
                     break
                 after = self._part(text, begin, end)
                 if found := self._common(now, after):
                     i, j = found
                     done.append(now[0][:i])
+                    last = int(now[0][i - 1]), int(now[1][i - 1])
                     now, start = (after[0][j:], after[1][j:]), int(after[1][j])
                     break
                 overlap *= 2

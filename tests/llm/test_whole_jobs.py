@@ -3,9 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25
+from tessera.llm import bm25, token_counts
 
 
 def test_bm25_whole_text(spark):
@@ -43,3 +45,11 @@ def test_ranges_equals_exhaustive():
             for i, x in zip(p.tolist(), s.tolist(), strict=True):
                 total[i] += x
         assert bm25.ranges(lists, n, 10) == sorted(((round(s, 9), i) for i, s in total.items()), key=lambda e: (-e[0], e[1]))[:10]
+
+
+@pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
+def test_long_runs_behind_prose(head, run):
+    c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    prose = ("The quick brown fox jumps over the lazy dog, and 17 others watch it. " * 400)[:head]
+    for text in (prose + run, prose + run + prose):
+        assert c.encode_long(text).tolist() == c.model.encode(text)
