@@ -12,7 +12,8 @@ stay in range.
 A surrogate is a function of (key, type, canonical form, attempt) by HMAC-SHA-256.
 Over all distinct entities of the corpus two checks are made: no two entities may
 share a surrogate, and no surrogate may be a real entity.  Who fails moves to the
-next attempt until all pass.  Attempts above 0 are exceptions: up to ``BROADCAST`` of
+next attempt until all pass.  From attempt ``ATTEMPTS`` on, the format counts as exhausted and surrogates are
+longer than it, by more the later the attempt (addresses first take octets of any width), so all pass in the end.  Attempts above 0 are exceptions: up to ``BROADCAST`` of
 them are broadcast; beyond that they are joined to the rows that need them.
 
 Defined cases: null text stays null, empty text stays empty; rows with null or
@@ -62,7 +63,7 @@ _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts} | {n: g for s in GIVEN.values() for g, ns in s.items() for n in ns}
 _RULES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9_\-+/.]{6,}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?=[_\-+/.]*[A-Za-z0-9])[A-Za-z0-9_\-+/.]{6,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
@@ -143,25 +144,28 @@ class Draw:
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The canonical form of the surrogate."""
     d = Draw(key, kind, canonical, attempt)
+    more = max(0, attempt - ATTEMPTS + 4) // 4  # characters beyond the format
     if kind.startswith(("given", "family")):
         role, script, *gender = kind.split("_")
         names = GIVEN[script][gender[0]] if role == "given" else FAMILY[script]
         return "-".join(names[d.below(len(names))] for _ in range(1 + attempt // 4)).casefold()
     if kind == "email":
         head, _, top = canonical.rpartition(".")
-        return "".join(d.like(c) for c in head) + "." + top
+        return "".join(d.like(c) for c in head + "a" * more) + "." + top
     if kind == "ip":
         low, high = {1: 1, 2: 10, 3: 100}, {1: 9, 2: 99, 3: 255}
+        if more:
+            return ".".join(str(d.below(256)) for _ in range(4 + (more - 1) // 16))
         return ".".join(str(low[len(x)] + d.below(high[len(x)] - low[len(x)] + 1)) for x in canonical.split("."))
     if kind == "card":
-        body = canonical[0] + "".join(d.like(c) for c in canonical[1:-1])
+        body = canonical[0] + "".join(d.like(c) for c in canonical[1:-1] + "0" * more)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind in ("phone", "ssn"):
-        return "".join("23456789"[d.below(8)] if i == 0 and c not in "01" else d.like(c) for i, c in enumerate(canonical))
+        return "".join("23456789"[d.below(8)] if i == 0 and c not in "01" else d.like(c) for i, c in enumerate(canonical + "0" * more))
     if canonical.startswith("AKIA") and len(canonical) == 20:
         return "AKIA" + "".join(d.like(c) for c in canonical[4:])
     plain = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical))
-    return "".join(d.like(c, plain) for c in canonical)
+    return "".join(d.like(c, plain) for c in canonical + "0" * more)
 
 
 def render(mention: str, kind: str, canonical: str, new: str) -> str:
@@ -174,11 +178,13 @@ def render(mention: str, kind: str, canonical: str, new: str) -> str:
                 skip -= 1
                 c = c if skip >= 0 else next(own)
             out.append(c)
-        return "".join(out)
+        return "".join([*out, *own])
     if kind.startswith(("given", "family")):
         return new.upper() if mention.isupper() and len(mention) > 1 else "-".join(x[:1].upper() + x[1:] for x in new.split("-"))
     if kind == "email":
-        return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new, strict=True))
+        dot = mention.rindex(".")
+        like = mention[:dot] + "a" * (len(new) - len(mention)) + mention[dot:]
+        return "".join(n.upper() if m.isupper() else n for m, n in zip(like, new, strict=True))
     return new
 
 
@@ -213,7 +219,7 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
             new = [surrogate(key, k, c, a) for k, c, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
 
-    for _ in range(ATTEMPTS):
+    while True:  # formats grow with the attempt
         drawn = stash(arrow_map(now, run, "kind string, canonical string, attempt int, new string"), "surrogates")
         first = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canonical")).alias("first"))
         real = found.select("kind", F.col("canonical").alias("new"), F.lit(True).alias("real"))
@@ -223,7 +229,6 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
         if now.filter("clash").isEmpty():
             return now.filter("attempt > 0").select("kind", "canonical", "attempt")
         now = now.drop("clash")
-    raise ValueError("an entity type has more members than surrogates of its format")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", most: int = BROADCAST) -> DataFrame:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, token_counts
+from tessera.llm import bm25, pii, token_counts
 
 
 def test_bm25_whole_text(spark):
@@ -53,3 +53,21 @@ def test_long_runs_behind_prose(head, run):
     prose = ("The quick brown fox jumps over the lazy dog, and 17 others watch it. " * 400)[:head]
     for text in (prose + run, prose + run + prose):
         assert c.encode_long(text).tolist() == c.model.encode(text)
+
+
+def test_pii_form_fields_and_exhausted_formats(spark):
+    """Blanks of a form are no secrets, and a format with all its forms in the text still gets surrogates."""
+    for blank in ("Password: ________", "token: ......", "secret = ------"):
+        assert pii.find(blank) == []
+    t = [f"token: {chr(97 + i)}_____" for i in range(26)] + ["Password: ________"]
+    got = {r.row.doc_id: r.new_text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), b"k").collect()}
+    assert got[26] == t[26] and len(set(got.values())) == 27 and not set(t[:26]) & set(got.values())
+
+
+def test_pii_longer_forms():
+    full = pii.ATTEMPTS + 1
+    for kind, mention, canonical in [("email", "A@b.cc", "a@b.cc"), ("phone", "+1 (386) 555-3733", "3865553733"), ("ssn", "123-45-6789", "123456789"), ("card", "4111 1111 1111 1111", "4111111111111111"), ("ip", "8.8.8.8", "8.8.8.8"), ("secret", "a_____", "a_____")]:
+        new = {pii.surrogate(b"k", kind, canonical, full + i) for i in range(300)}
+        assert len(new) == 300 and canonical not in new
+        shown = {pii.render(mention, kind, canonical, n) for n in new}
+        assert len(shown) == 300 and (kind != "card" or all(map(pii.luhn, new)))
