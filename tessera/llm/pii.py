@@ -71,6 +71,9 @@ _RULES = {
     "name": rf"\b(?:{_TITLE})\b\.? +[^\W\d_a-zа-я]\w+(?: [^\W\d_a-zа-я]\w+)?",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _RULES.items()))
+_CARD = r"(?<![\w-])(?:\d{16}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?![\w-])"
+_WHOLE_CARD = re.compile(_CARD)
+_INSIDE = re.compile("|".join(f"(?P<{k}>{_CARD if k == 'card' else v})" for k, v in _RULES.items()))
 _MAYBE = re.compile(rf"[@\d=:]|\b(?:{_TITLE})\b")
 _VALUE = re.compile(r"^(.*?[=:]\s*[\"']?)(.*)$", re.S)
 
@@ -80,6 +83,34 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _matches(text: str):
+    """Matches of the rules, left to right.
+
+    A card is a number with a right check digit, or one of 16 digits that stand alone, in fours, or begin with 3 to 6.
+    What looks like a card and is none is searched again by the other rules and for a card inside.
+    """
+    at = 0
+    while m := _ANY.search(text, at):
+        if m.lastgroup == "card" and not luhn(digits := re.sub(r"\D", "", m.group())):
+            s, e = m.span()
+            inner = _WHOLE_CARD.search(text, s)
+            while inner and inner.start() < e and not luhn(re.sub(r"\D", "", inner.group())):
+                inner = _WHOLE_CARD.search(text, inner.start() + 1)
+            if inner and inner.start() < e:
+                m = _INSIDE.search(text, s)  # what precedes the card inside, or that card
+                m = m if m.end() <= inner.start() else inner
+                yield m, m.lastgroup or "card"
+                at = m.end()
+                continue
+            if not (len(digits) == 16 and (digits[0] in "3456" or _WHOLE_CARD.fullmatch(m.group()))):
+                m = _INSIDE.search(text, s)
+                if m is None or m.start() >= e:
+                    at = e
+                    continue
+        yield m, m.lastgroup
+        at = m.end()
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, type, canonical form) of the entities of a text, left to right.
 
@@ -88,8 +119,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     if not _MAYBE.search(text):
         return out
-    for m in _ANY.finditer(text):
-        kind, s, e, raw = m.lastgroup, m.start(), m.end(), m.group()
+    for m, kind in _matches(text):
+        s, e, raw = m.start(), m.end(), m.group()
         if kind == "name":
             title, *parts = re.split(r"(?:\. +|\.| +)", raw)
             gender, at = _GENDER.get(title, "n"), s
@@ -108,8 +139,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             s += len(v[1]) if v else 0
             out.append((s, e, kind, text[s:e]))
         elif kind == "card":
-            if luhn(digits) or len(digits) == 16 and digits[0] in "3456":
-                out.append((s, e, kind, digits))
+            out.append((s, e, kind, digits))
         elif kind == "phone":
             if 7 <= len(digits) <= 15:
                 out.append((s, e, kind, digits[1:] if len(digits) == 11 and digits[0] == "1" else digits))

@@ -71,3 +71,20 @@ def test_pii_longer_forms():
         assert len(new) == 300 and canonical not in new
         shown = {pii.render(mention, kind, canonical, n) for n in new}
         assert len(shown) == 300 and (kind != "card" or all(map(pii.luhn, new)))
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("x 2123465659789240 y", [("2123465659789240", "card")]),
+        ("9807 9157 6280 4490.", [("9807 9157 6280 4490", "card")]),
+        ("386-555-3733 2024", [("386-555-3733", "phone")]),
+        ("555-123-4567 10115", [("555-123-4567", "phone")]),
+        ("12 4111 1111 1111 1111", [("4111 1111 1111 1111", "card")]),
+        ("2024 4111 1111 1111 1111", [("4111 1111 1111 1111", "card")]),
+        ("386-555-3733 4111 1111 1111 1111", [("386-555-3733", "phone"), ("4111 1111 1111 1111", "card")]),
+        ("1234567890123 or a@b.cc", [("a@b.cc", "email")]),
+    ],
+)
+def test_pii_cards_and_what_looks_like_them(text, want):
+    assert [(text[s:e], k) for s, e, k, _ in pii.find(text)] == want
