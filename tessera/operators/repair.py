@@ -148,50 +148,61 @@ def place(chunks: DataFrame, nodes: DataFrame, copies: int = 3) -> DataFrame:
 def move_plan(targets: DataFrame, holdings: DataFrame, band: int, limit: int) -> DataFrame:
     """(step, id, source, destination, size): greedy moves from the node most over its target to the one most under.
 
-    The largest chunk that fits both gaps is moved, else the smallest with size
+    Acts only while some node is further than ``band`` from its target; then every node above its target is a source and
+    every node below a destination.  The largest chunk that fits both gaps is moved, else the smallest with size
     below excess plus deficit; never to a node that has a copy, nor so that the chunk uses fewer racks.
-    ``holdings``: (id, node, rack, size).  At most ``limit`` moves are planned at a time.
+    ``holdings``: (id, node, rack, size).  At most ``limit`` moves are planned at a time, all if it is 0.
+
+    The driver holds the membership and the moves; each move is chosen by an aggregate over the chunks, one row per
+    source and destination: of the first source alone, and of all others only if that has no move.
     """
+    spark = targets.sparkSession
     t = targets.collect()  # the membership
-    over = {r.node: r.used - r.target for r in t}
+    gap = {r.node: r.used - r.target for r in t}
     rack = {r.node: r.rack for r in t}
-    sources = sorted((n for n, d in over.items() if d > band), key=lambda n: (-over[n], n))[:limit]
-    if not sources or not any(d < -band for d in over.values()):
-        return holdings.limit(0).selectExpr("0L as step", "id", "node as source", "node as destination", "size")
-    of_sources = holdings.filter(F.col("node").isin(sources)).select("id").distinct()
-    rows = holdings.join(of_sources, "id", "left_semi").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_set("node")).alias("nodes"))
-
-    def run(it):
-        held = {}
-        for batch in it:
-            for i, size, nodes in zip(batch["id"], batch["size"], batch["nodes"], strict=True):
-                for n in nodes:
-                    if over.get(n, 0) > band:
-                        held.setdefault(n, []).append((size, i, frozenset(nodes)))
-        for v in held.values():
-            v.sort(key=lambda x: (-x[0], x[1]))
-        gap, moved, out = dict(over), set(), []
-        while len(out) < limit:
+    out: list[tuple] = []
+    schema = "step long, id long, source long, destination long, size long"
+    if all(abs(x) <= band for x in gap.values()):
+        return spark.createDataFrame(out, schema)
+    rows = holdings.groupBy("id").agg(F.first("size").cast("long").alias("size"), F.collect_set(F.struct("node", "rack")).alias("holders")).persist()
+    now: dict = {}  # holders of the chunks moved so far
+    pair_schema = "s long, s_rack string, excess long, d long, d_rack string, deficit long"
+
+    def choose(sources: list, dests: list) -> dict:
+        pairs = spark.createDataFrame([(s, str(rack[s]), gap[s], d, str(rack[d]), -gap[d]) for s in sources for d in dests], pair_schema)
+        at = rows.filter(~F.col("id").isin(list(now))) if now else rows
+        if now:
+            at = at.unionByName(spark.createDataFrame([(i, size, list(h.items())) for i, (size, h) in now.items()], rows.schema))
+        on = at.withColumn("s", F.explode("holders.node")).join(F.broadcast(pairs), "s").filter("size < excess + deficit")
+        on = on.filter(
+            """not exists(holders, h -> h.node = d) and (s_rack = d_rack or exists(holders, h -> h.node <> s and cast(h.rack as string) = s_rack)
+            or not exists(holders, h -> h.node <> s and cast(h.rack as string) = d_rack))"""
+        )
+        small = F.struct("size", "id", "holders")
+        fit = F.when(F.col("size") <= F.least("excess", "deficit"), F.struct((-F.col("size")).alias("order"), "id", "size", "holders"))
+        return {(r.s, r.d): r.fit or r.small for r in on.groupBy("s", "d").agg(F.min(fit).alias("fit"), F.min(small).alias("small")).collect()}
+
+    try:
+        while limit <= 0 or len(out) < limit:
+            sources = sorted((n for n, x in gap.items() if x > 0), key=lambda n: (-gap[n], n))
+            dests = sorted((n for n, x in gap.items() if x < 0), key=lambda n: (gap[n], n))
             best = None
-            for s in sorted((n for n, d in gap.items() if d > band), key=lambda n: (-gap[n], n)):
-                for d in sorted((n for n, x in gap.items() if x < -band), key=lambda n: (gap[n], n)):
-                    ok = [c for c in held.get(s, []) if c[1] not in moved and d not in c[2] and c[0] < gap[s] - gap[d] and len({rack[n] for n in c[2] if n != s} | {rack[d]}) >= len({rack[n] for n in c[2]})]
-                    fits = [c for c in ok if c[0] <= gap[s] and c[0] <= -gap[d]]
-                    if ok:
-                        best = (s, d, fits[0] if fits else ok[-1])
-                        break
+            for some in (sources[:1], sources[1:]):
+                found = choose(some, dests) if some and dests else {}
+                best = next(((s, d, found[s, d]) for s in some for d in dests if (s, d) in found), None)
                 if best:
                     break
             if not best:
                 break
-            s, d, (size, i, _) = best
-            moved.add(i)
-            gap[s] -= size
-            gap[d] += size
-            out.append((len(out), i, s, d, size))
-        yield pd.DataFrame(out, columns=["step", "id", "source", "destination", "size"])
-
-    return rows.coalesce(1).mapInPandas(run, "step long, id long, source long, destination long, size long")
+            s, d, c = best
+            holders = {h.node: h.rack for h in c.holders if h.node != s}
+            now[c.id] = (c.size, {**holders, d: rack[d]})
+            gap[s] -= c.size
+            gap[d] += c.size
+            out.append((len(out), c.id, s, d, c.size))
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(out, schema)
 
 
 def dispatch(queue: DataFrame, in_flight: int = 8, per_node: int = 2) -> DataFrame:
