@@ -209,24 +209,36 @@ def dispatch(queue: DataFrame, in_flight: int = 8, per_node: int = 2) -> DataFra
     """(round, id, source, target): rounds of copies with at most ``in_flight`` at once and ``per_node`` per source and per target; blocked items are skipped, not dropped.
 
     ``queue``: (class, rank, id, source, target).  A round ends when nothing more fits; a lower class waits for the higher.
+    Each item goes to the first round of its class that has a slot left by the items before it, which are the same
+    rounds; only rounds that are not full are kept, so batches do not matter.
     """
 
     def step(batch: pd.DataFrame, state: dict) -> pd.DataFrame:
-        waiting = state.pop("waiting", [])
-        waiting += list(zip(batch["class"], batch["rank"], batch["id"], batch["source"], batch["target"], strict=True))
-        out, number = [], state.get("round", 0)
-        while waiting:
-            used_s, used_t, took, rest = {}, {}, 0, []
-            first = waiting[0][0]
-            for item in waiting:
-                c, _, i, s, t = item
-                if c == first and took < in_flight and used_s.get(s, 0) < per_node and used_t.get(t, 0) < per_node:
-                    used_s[s], used_t[t], took = used_s.get(s, 0) + 1, used_t.get(t, 0) + 1, took + 1
-                    out.append((number, i, s, t))
-                else:
-                    rest.append(item)
-            waiting, number = rest, number + 1
-        state["round"] = number
+        out = []
+        for c, i, s, t in zip(batch["class"], batch["id"], batch["source"], batch["target"], strict=True):
+            if state.get("class", c) != c:
+                state.update(base=state["top"] + 1, least={}, open={})
+            state["class"] = c
+            number, least, rounds = state.setdefault("base", 0), state.setdefault("least", {}), state.setdefault("open", {})
+            number = max(number, least.get(("s", s), 0), least.get(("t", t), 0))
+            while True:
+                took = rounds.setdefault(number, {}) if number > state.get("top", -1) else rounds.get(number)
+                if took is not None and took.get(("s", s), 0) < per_node and took.get(("t", t), 0) < per_node:
+                    break
+                number += 1
+            for key in (("s", s), ("t", t), "all"):
+                took[key] = took.get(key, 0) + 1
+            state["top"] = max(state.get("top", -1), number)
+            out.append((number, i, s, t))
+            if took["all"] == in_flight:
+                del rounds[number]
+                while state["base"] <= state["top"] and state["base"] not in rounds:
+                    state["base"] += 1
+            for key in (("s", s), ("t", t)):  # rounds before the first with a slot for this node
+                first = max(state["base"], least.get(key, 0))
+                while first <= state["top"] and (first not in rounds or rounds[first].get(key, 0) >= per_node):
+                    first += 1
+                least[key] = first
         return pd.DataFrame(out, columns=["round", "id", "source", "target"])
 
     return _ordered(queue.select("class", "rank", "id", "source", "target"), ["class", "rank", "id"], "round long, id long, source long, target long", step)

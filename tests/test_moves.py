@@ -1,4 +1,4 @@
-"""Rebalancing against a direct transcription of the reference's Plan."""
+"""Rebalancing against a direct transcription of the reference's Plan, dispatch against whole rounds."""
 
 import random
 
@@ -60,3 +60,29 @@ def test_move_plan_equals_reference(spark, seed):
     nodes = {n: (n % 3, used[n], sum(used.values()) // 7) for n in used}
     want = plan(nodes, chunks, 10, 12)
     assert want and run(spark, nodes, chunks, 10, 12) == want
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_dispatch_across_batches(spark, batch):
+    rng = random.Random(3)
+    queue = sorted((rng.randrange(2), rng.randrange(3), i, rng.randrange(6), rng.randrange(6, 12)) for i in range(200))
+    want, waiting, number = [], list(queue), 0
+    while waiting:
+        s_used, t_used, took, rest = {}, {}, 0, []
+        for item in waiting:
+            c, _, i, s, t = item
+            if c == waiting[0][0] and took < 8 and s_used.get(s, 0) < 2 and t_used.get(t, 0) < 2:
+                s_used[s], t_used[t], took = s_used.get(s, 0) + 1, t_used.get(t, 0) + 1, took + 1
+                want.append((number, i, s, t))
+            else:
+                rest.append(item)
+        waiting, number = rest, number + 1
+    q = spark.createDataFrame(queue, "class long, rank long, id long, source long, target long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        got = sorted(map(tuple, repair.dispatch(q).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted(want)
