@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def human_bytes(n: Column) -> Column:
-    """1.5 MiB and the like; bytes without decimals."""
+    """1.5 MiB and the like, halves to even; bytes without decimals."""
     out = F.format_string("%d B", n)
     for power, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB")):
-        out = F.when(n >= 1 << power, F.format_string(f"%.1f {unit}", n / float(1 << power))).otherwise(out)
+        out = F.when(n >= 1 << power, F.format_string(f"%.1f {unit}", F.bround(n / float(1 << power), 1))).otherwise(out)
     return out
 
 
