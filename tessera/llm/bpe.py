@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, slices
+from tessera.llm.common import arrow_map, kept, slices
 
 WIDE = 256
 NONE = np.int64(1) << 60
 _SPACE = re.compile(r"\s\s")
-_codecs: dict[str, Codec] = {}
 #: The published splitting rule of this kind of vocabulary, with white space as Unicode defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -244,9 +243,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return kept(Codec, path)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -42,6 +42,8 @@ def scratch(spark: SparkSession) -> str:
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         if _own_scratch is None:
             _own_scratch = tempfile.mkdtemp(prefix="tessera-")
         named = f"file://{_own_scratch}"
@@ -53,7 +55,17 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = session_of(df)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more, and let Spark drop the shuffle files of jobs that are done."""
+    for t in tables:
+        spark = session_of(t)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stashed_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean_up(spark: SparkSession) -> None:
@@ -75,6 +87,23 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+_kept: tuple = (None, None)
+
+
+def kept(make: Callable, *args):
+    """``make(*args)``, remembered from task to task by a Python worker.
+
+    One thing at a time: a worker serves many stages, and what the last operator
+    kept (a tokenizer with its caches) goes when the next one asks.
+    """
+    global _kept
+    if _kept[0] != (make, args):
+        _kept = (None, None)
+        release()
+        _kept = ((make, args), make(*args))
+    return _kept[1]
+
+
 def release() -> None:
     """Give freed memory back: a Python worker lives on and serves other stages."""
     pa.default_memory_pool().release_unused()

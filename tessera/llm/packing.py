@@ -20,46 +20,56 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, session_of, slices, stash
+from tessera.llm.common import arrow_map, kept, session_of, slices, stash
 
 WINDOW, END = 4096, 2
-_encoders: dict[str, WordEncoder] = {}
+#: Bytes of text whose words are told apart together.
+SLICE = 8 << 20
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, word by word, with caches of two generations of at most ``words`` words and ``most`` stems each.
+    """Ids by the tokenizers library, part of word by part of word, with a cache of two generations of at most ``most`` parts each.
 
     A word of letters with punctuation behind it is two pre-tokens or one, so the
     library sees each distinct stem and run of punctuation once.  ASCII stems are
     looked up in lower case, which the normalizer would make of them anyway.
+    Words are told apart, split and put together again as Arrow columns; only
+    distinct parts become Python objects.
     """
 
-    def __init__(self, path: str, most: int = 300_000, words: int = 100_000):
+    TAIL = ".,;:!?"
+
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.most, self.most_words = most, words
-        self.words, self.old_words, self.stems, self.old_stems = {}, {}, {}, {}
+        self.most, self.parts, self.old = most, {"": b""}, {}
+        # letters that the normalizer makes something else of: their words are not split
+        odd = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+        self.odd = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in odd) + "]"
 
     def _library(self, words: list[str]) -> None:
         """Stems: letters only, so the library makes one pre-token of each; they go joined by spaces and are told apart by word ends."""
+        ends, parts = self.ends, self.parts
         for at in range(0, len(words), 50):
             some = words[at : at + 50]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            stops = [i + 1 for i, x in enumerate(ids) if x in self.ends]
+            stops = [2 * i + 2 for i, x in enumerate(ids) if x in ends]
             if len(stops) == len(some):
-                raw, start = np.array(ids, "<u4").tobytes(), 0
+                raw, start = np.array(ids, "<u2").tobytes(), 0
                 for w, stop in zip(some, stops, strict=True):
-                    self.stems[w] = raw[4 * start : 4 * stop]
+                    parts[w] = raw[start:stop]
                     start = stop
             else:  # a letter that the normalizer takes apart
                 self._one_by_one(some)
@@ -68,46 +78,40 @@ class WordEncoder:
         for at in range(0, len(words), 10_000):
             some = words[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.stems[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > self.most_words:
-            self.words, self.old_words = {}, self.words
-        if len(self.stems) > self.most:
-            self.stems, self.old_stems = {}, self.stems
-        missing = []
-        for w in words - self.words.keys():
-            if (got := self.old_words.get(w)) is not None:
-                self.words[w] = got
-                continue
-            stem = w.rstrip(".,;:!?")
-            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
-                missing.append((w, stem.lower() if stem.isascii() else stem, w[len(stem) :]))
-            else:
-                missing.append((w, w, ""))
-        letters, others = [], []
-        for x in {x for _, stem, tail in missing for x in (stem, tail)} - self.stems.keys():
-            if (got := self.old_stems.get(x)) is not None:
-                self.stems[x] = got
+                self.parts[w] = np.array(e.ids, "<u2").tobytes()
+
+    def _ids(self, names: list[str]) -> pa.Array:
+        if len(self.parts) > self.most:
+            self.parts, self.old = {"": b""}, self.parts
+        parts, letters, others = self.parts, [], []
+        for x in filterfalse(parts.__contains__, names):
+            if (got := self.old.get(x)) is not None:
+                parts[x] = got
             else:
                 (letters if x.isalpha() else others).append(x)
         self._library(letters)
         self._one_by_one(others)
-        for w, stem, tail in missing:
-            self.words[w] = self.stems[stem] + self.stems[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts))
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return pa.array(list(map(parts.__getitem__, names)), pa.binary())
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text; null counts as empty."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        own = words.dictionary
+        stem = pc.utf8_rtrim(own, self.TAIL)
+        split = pc.and_not(pc.utf8_is_alpha(stem), pc.match_substring_regex(stem, self.odd))
+        tail = pc.if_else(split, pc.replace_substring_regex(own, f"^[^{self.TAIL}]+", ""), "")
+        stem = pc.if_else(split, pc.if_else(pc.string_is_ascii(stem), pc.ascii_lower(stem), stem), own)
+        both = pa.concat_arrays([stem, tail]).dictionary_encode()
+        ids = self._ids(both.dictionary.to_pylist()).take(both.indices)
+        ids = pc.binary_join_element_wise(ids[: len(own)], ids[len(own) :], b"").take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1][np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
+        return [bytes(data[a:b]) for a, b in pairwise(ends.tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept(WordEncoder, path)
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,22 +127,24 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "doc_i
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, at, enc, last = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.uint16(end).tobytes()
         for batch in it:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE):
                 ids, ats = [], []
-                for x in enc.encode([t or "" for t in some.column(1).to_pylist()]):
-                    got = np.append(np.frombuffer(x, "<u4"), end).astype("<u2")
-                    ids.append(got.tobytes())
+                for x in enc.encode(some.column(1)):
+                    ids.append(x + last)
                     ats.append(at)
-                    at += len(got)
+                    at += len(ids[-1]) // 2
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(ats, pa.int64()), some.column(0), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "ids"])
 
     return stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "part int, at long, doc_id long, ids binary"), "ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary)."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary).
+
+    With ``digest``, ids_crc32 stands in place of ids: of the ids as little-endian unsigned 32-bit numbers.
+    """
     ids = encode(docs, tokenizer, end, doc_id, text)
     totals = sorted((r.part, r.n) for r in ids.groupBy("part").agg(F.sum(F.length("ids") / 2).cast("long").alias("n")).collect())  # a row a partition
     base = dict(zip([p for p, _ in totals], np.concatenate([[0], np.cumsum([n for _, n in totals])[:-1]]).astype(int).tolist() if totals else [], strict=True))
@@ -147,18 +153,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     def cut(it):
         for batch in it:
             for some in slices(batch, 3):
-                out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
+                rows, last = [], []
                 for part, at, doc, blob in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
                     first, n, start = base.value[part] + at, len(blob) // 2, 0
                     while start < n:
                         sequence, offset = divmod(first + start, window)
                         length = min(window - offset, n - start)
-                        for k, v in zip(out, (doc, start, length, n, sequence, offset, blob[2 * start : 2 * (start + length)]), strict=True):
-                            out[k].append(v)
+                        piece = blob[2 * start : 2 * (start + length)]
+                        rows.append((doc, start, length, n, sequence, offset))
+                        last.append(zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4")) if digest else piece)
                         start += length
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], list(out))
+                columns = zip(*rows, strict=True) if rows else ([],) * 6
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(last, pa.int64() if digest else pa.binary())], names)
 
-    return arrow_map(ids, cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"]
+    return arrow_map(ids, cut, ", ".join(f"{n} long" for n in names[:6]) + (", ids_crc32 long" if digest else ", ids binary"))
 
 
 def boundaries(pieces: DataFrame) -> DataFrame:
@@ -167,14 +176,3 @@ def boundaries(pieces: DataFrame) -> DataFrame:
         F.sum("length").alias("length"),
         F.array_sort(F.collect_list(F.when((F.col("start") == 0) & (F.col("offset") > 0), F.col("offset")))).alias("document_starts"),
     )
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ids_crc32 of the ids as little-endian unsigned 32-bit numbers in place of the ids."""
-
-    def run(it):
-        for batch in it:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(6).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(crc, pa.int64())], [*batch.schema.names[:6], "ids_crc32"])
-
-    return arrow_map(pieces, run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")

@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, slices
+from tessera.llm.common import arrow_map, kept, slices
 
 CHUNK, OVERLAP, LIMIT = 1 << 14, 256, 4096
-_counters: dict[str, Counter] = {}
 
 
 class Counter:
@@ -102,9 +101,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return kept(Counter, path)
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
