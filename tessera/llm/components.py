@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import discard, stash
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,10 +30,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         lowest = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = stash(both.join(lowest, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        old, large = edges, stash(both.join(lowest, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         edges = stash(joined.select("u", F.col("m").alias("v")).unionAll(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        discard(old, large)
         now = _state(edges)
         if now == state:
             break

@@ -1,8 +1,9 @@
 """Set similarity self-join on word n-grams: rare-first prefix filter with length, positional and suffix filters.
 
 1. One pass gives each document's set as (size, 128-bit class key) and counts its
-   n-grams over all documents in a table of ``BUCKETS`` counters.  Documents with
-   equal sets are one class from here on.
+   n-grams over all documents in two independent rows of counters, of which the
+   smaller counts.  Documents with equal sets are one class from here on, and the
+   row with the smallest id stands for it.
 2. N-grams of a set are ordered by (count, hash), rarest first; any total order is
    exact.  A pair with similarity t or more shares an n-gram among the first
    n - ceil(t n) + 1 of both.  A set of so few n-grams that any change takes it
@@ -38,16 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Planes, arrow_map, attach_groups, build_planes, mix64, session_of, slices, stash
+from tessera.llm.common import Planes, arrow_map, attach_groups, build_planes, discard, mix64, session_of, slices, stash
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 
-BUCKETS = 1 << 18
+#: Counters in each of two rows, as a power of two: 4 MB to broadcast.
+COUNTER_BITS = 19
 #: Largest number of Bloom cells: 8 MB to broadcast.
 MOST_CELLS = 1 << 26
-#: Hash ranges of the suffix filter, as a power of two; classes in a block of a hot n-gram; pairs that a task holds to make each once;
-#: classes (16 bytes each) that may be broadcast.
-RANGE_BITS, BLOCK, HELD, FEW = 8, 2000, 100_000, 100_000
+#: Classes in a block of a hot n-gram; pairs that a task holds to make each once; classes (16 bytes each) that may be broadcast.
+BLOCK, HELD, FEW = 2000, 100_000, 100_000
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -78,50 +79,83 @@ class Threshold:
         return n
 
 
-def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, c1, c2) per row, and the counters of all n-grams of all rows."""
+def _cells(s: np.ndarray) -> list[np.ndarray]:
+    """The counter of each n-gram in each row of counters."""
+    return [(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), (mix64(s) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+
+
+def signatures(docs: DataFrame, width: int, doc_id: str, text: str, fan: int = 16) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, c1, c2) per row, and the counters of all n-grams of all rows: partial ones of each task are merged in ``fan`` tasks, then on the driver."""
+    size = 1 << COUNTER_BITS
 
     def run(it):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts, some_rows = np.zeros((2, size), np.uint32), False
         for batch in it:
             for some in slices(batch, 1):
                 sets = shingle_sets(some.column(1), width)
                 if sets:
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-                keys = [class_key(s) for s in sets]
+                    for row, cell in zip(counts, _cells(np.concatenate(sets)), strict=True):
+                        row += np.bincount(cell, minlength=size).astype(np.uint32)
+                keys, some_rows = [class_key(s) for s in sets], True
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())],
-                    ["doc_id", "n", "c1", "c2", "bucket", "count"],
+                    [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(len(sets), pa.binary())],
+                    ["doc_id", "n", "c1", "c2", "counts"],
                 )
-        own = np.flatnonzero(counts)
-        for at in range(0, len(own), 50_000):
-            part = own[at : at + 50_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], ["doc_id", "n", "c1", "c2", "bucket", "count"])
+        if some_rows:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "c1", "c2", "counts"])
+
+    def merge(it):
+        total = np.zeros(2 * size, np.int64)
+        for batch in it:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["counts"])
+
+    both = stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n long, c1 long, c2 long, counts binary"), "signatures")
+    total = np.zeros(2 * size, np.int64)
+    for row in arrow_map(both.filter("counts is not null").select("counts").repartition(fan), merge, "counts binary").toLocalIterator():
+        total += np.frombuffer(row.counts, np.uint32)
+    rows = both.filter("counts is null").select("doc_id", "n", "c1", "c2")
+    rows.stashed_at = both.stashed_at
+    return rows, np.minimum(total, (1 << 32) - 1).astype(np.uint32).reshape(2, size)
+
+
+def _id_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return mix64(x), mix64(x + np.uint64(1))
+
 
-    both = stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n long, c1 long, c2 long, bucket int, count long"), "signatures")
-    counts = np.zeros(BUCKETS, np.int64)
-    for row in both.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).collect():  # BUCKETS rows at most
-        counts[row.bucket] = row["count"]
-    return both.filter("bucket is null").select("doc_id", "n", "c1", "c2"), counts
+class Ids:
+    """A broadcast Bloom filter of ids; of the rows it lets pass too many, none is wanted and none is wrong."""
 
+    def __init__(self, ids: DataFrame):
+        self.size = min(MOST_CELLS, max(64, 16 * ids.count() // 8 * 8))
+        self.plane = session_of(ids).sparkContext.broadcast(build_planes(ids, lambda b: _id_hashes(b.column(0)), self.size).once)
 
-def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold, text: str) -> DataFrame:
-    """(h, c1, c2, n, pos): the rarest n-grams of each set, once per class and task."""
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of ``batch`` whose first column may be among the ids."""
+        hit = Planes.hit(self.plane.value, self.size, *_id_hashes(batch.column(0)))
+        return batch.filter(pa.array(hit & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold, reps: Ids, doc_id: str, text: str) -> DataFrame:
+    """(h, c1, c2, n, pos): the rarest n-grams of each set, for rows that may stand for their class."""
     shared = session_of(docs).sparkContext.broadcast(counts)
     least = limit.least
 
     def run(it):
         seen: set = set()
         for batch in it:
-            for some in slices(batch, 0):
+            for some in slices(reps.of(batch), 1):
                 hs, c1, c2, ns, ps = [], [], [], [], []
-                for s in shingle_sets(some.column(0), width):
+                for s in shingle_sets(some.column(1), width):
                     if len(s) < least or (key := class_key(s)) in seen:
                         continue
                     seen.add(key)
                     p = limit.prefix(len(s))
-                    order = np.lexsort((s, shared.value[(s >> np.uint64(46)).astype(np.int64)]))[:p]
+                    often = np.minimum(*(row[cell] for row, cell in zip(shared.value, _cells(s), strict=True)))
+                    order = np.lexsort((s, often))[:p]
                     hs.append(s[order].view(np.int64))
                     c1.append(np.full(p, key[0]))
                     c2.append(np.full(p, key[1]))
@@ -130,56 +164,75 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold,
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (c1, np.int64), (c2, np.int64), (ns, np.int32), (ps, np.int32))], ["h", "c1", "c2", "n", "pos"])
 
-    return arrow_map(docs.select(F.col(text).alias("text")), run, "h long, c1 long, c2 long, n int, pos int")
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    c = (counts & 15).astype(np.uint8)
-    return (c[::2] << 4 | c[1::2]).tobytes()
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "h long, c1 long, c2 long, n int, pos int")
 
 
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    raw = np.stack([np.frombuffer(x, np.uint8) for x in blobs])
-    return np.concatenate([raw >> 4, raw & 15], axis=1).astype(np.int16)
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> DataFrame:
-    """(c1, c2, set, ranges) of the classes in ``wanted``: sorted n-grams as 64-bit numbers, and how many fall in each of 2 ** RANGE_BITS hash ranges.
+def _ranges(s: np.ndarray) -> bytes:
+    """How many n-grams of a set fall in each of 2 ** k hash ranges, about four a range, at least 16 ranges and at most 1,024.
 
     Counts are kept modulo 16, half a byte each: the distance on that circle is
     never more than the true difference, so the bound holds.
     """
-    n = wanted.count()
-    size = min(MOST_CELLS, max(64, 16 * n // 8 * 8))
+    bits = min(10, max(4, len(s).bit_length() - 3))
+    c = (np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15).astype(np.uint8)
+    return (c[::2] << 4 | c[1::2]).tobytes()
 
-    def keys(batch):
-        return tuple(mix64(batch.column(i).to_numpy().view(np.uint64)) for i in (0, 1))
 
-    plane = session_of(docs).sparkContext.broadcast(build_planes(wanted, keys, size).once)
+class Ranges:
+    """Range counts of the classes of a group, by width; neighbouring ranges add up to one of half the width."""
+
+    def __init__(self, blobs: list[bytes]):
+        size = np.array([len(x) for x in blobs])
+        self.of, self.at, self.tables = size, np.zeros(len(blobs), np.int64), {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            self.at[own] = np.arange(len(own))
+            raw = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8).reshape(len(own), n)
+            self.tables[n] = np.stack([raw >> 4, raw & 15], axis=2).reshape(len(own), 2 * n).astype(np.int16)
+
+    def apart(self, k: int, near: np.ndarray) -> np.ndarray:
+        """Least possible symmetric difference of class ``k`` and each of ``near``."""
+        out, own = np.zeros(len(near), np.int64), self.tables[self.of[k]][self.at[k]]
+        for n in np.unique(self.of[near]).tolist():
+            some = self.of[near] == n
+            a, b = self.tables[n][self.at[near[some]]], own
+            while a.shape[1] > len(b):
+                a = a.reshape(len(a), -1, 2).sum(axis=2)
+            while len(b) > a.shape[1]:
+                b = b.reshape(-1, 2).sum(axis=1)
+            far = (a - b) & 15
+            out[some] = np.minimum(far, 16 - far).sum(axis=1)
+        return out
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(c1, c2, set, ranges) of the rows whose ids are in ``wanted``: sorted n-grams as 64-bit numbers, and their range counts.  Texts are not shuffled."""
+    ids = Ids(wanted)
 
     def run(it):
         seen: set = set()
         for batch in it:
-            for some in slices(batch, 0):
-                sets = shingle_sets(some.column(0), width)
-                key = np.array([class_key(s) for s in sets], np.int64).reshape(-1, 2)
-                hit = Planes.hit(plane.value, size, *(mix64(np.ascontiguousarray(key[:, i]).view(np.uint64)) for i in (0, 1)))
-                picked = [i for i in np.flatnonzero(hit) if (k := (key[i, 0], key[i, 1])) not in seen and not seen.add(k)]
+            for some in slices(ids.of(batch), 1):
+                sets = shingle_sets(some.column(1), width)
+                keys = [class_key(s) for s in sets]
+                picked = [i for i, k in enumerate(keys) if len(sets[i]) and k not in seen and not seen.add(k)]
                 if picked:
-                    ranges = [_packed(np.bincount((sets[i] >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)) for i in picked]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[picked, 0]), pa.array(key[picked, 1]), pa.array([sets[i].tobytes() for i in picked], pa.binary()), pa.array(ranges, pa.binary())], ["c1", "c2", "set", "ranges"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([keys[i][j] for i in picked], pa.int64()) for j in (0, 1)), pa.array([sets[i].tobytes() for i in picked], pa.binary()), pa.array([_ranges(sets[i]) for i in picked], pa.binary())], ["c1", "c2", "set", "ranges"]
+                    )
 
-    sets = arrow_map(docs.select(F.col(text).alias("text")), run, "c1 long, c2 long, set binary, ranges binary")
-    return stash(sets.join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("set").alias("set"), F.first("ranges").alias("ranges")), "sets")
+    return stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "c1 long, c2 long, set binary, ranges binary"), "sets", codec="none")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs (a1, a2, b1, b2) whose sets are similar enough."""
     pairs = pairs.select("a1", "a2", "b1", "b2")
-    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionAll(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    if ends.count() <= FEW:  # sets of other classes need not move
-        sets = sets.join(F.broadcast(ends), ["c1", "c2"], "left_semi")
-    side = lambda x: sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}"))
+
+    def side(x: str) -> DataFrame:
+        own = sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}"))
+        ends = stash(pairs.select(f"{x}1", f"{x}2").distinct(), "ends")
+        return own.join(F.broadcast(ends), [f"{x}1", f"{x}2"], "left_semi") if ends.count() <= FEW else own  # sets of other classes need not move
+
     both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
 
@@ -216,10 +269,9 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
     dealt = dealt.select("h", "i", "j", "own", "n", "c1", "c2", "pos", "component", "ranges")
     dealt = dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
-    def compare(group: list[tuple], h: int, i: int, j: int) -> list[tuple[int, int, int, int]]:
+    def compare(group: list[tuple], h: int, i: int, j: int):
         own, n, c1, c2, pos, comp = (np.array([x[k] for x in group]) for k in range(6))
-        ranges = _unpacked([x[6] for x in group])
-        out = []
+        ranges = Ranges([x[6] for x in group])
         for k in range(1, len(group)):  # sorted by n: partners before k are no larger
             lo = int(np.searchsorted(n, -(-limit.percent * n[k] // 100)))
             if lo >= k:
@@ -230,27 +282,32 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
                 ok &= own[lo:k] != own[k]
             near = lo + np.flatnonzero(ok)
             if len(near):
-                far = np.abs(ranges[near] - ranges[k])
-                far = np.minimum(far, 16 - far).sum(axis=1)  # suffix filter
+                far = ranges.apart(k, near)  # suffix filter
                 apart = dict(zip(near.tolist(), far.tolist(), strict=True))
                 near = near[far <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
             for m in near.tolist():
                 a, b = (c1[m], c2[m]), (c1[k], c2[k])
-                out.append((*a, *b, apart[m]) if a < b else (*b, *a, apart[m]))
-        return out
+                yield (*a, *b, apart[m]) if a < b else (*b, *a, apart[m])
 
-    def run(it):
-        group, last, made = [], None, set()
+    def groups(it):
+        group, last = [], None
         for batch in it:
             for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 if (h, i, j) != last:
-                    made.update(compare(group, *last) if len(group) > 1 else ())
+                    if len(group) > 1:
+                        yield from compare(group, *last)
                     group, last = [], (h, i, j)
-                    if len(made) >= HELD:
-                        yield _pairs(list(made))
-                        made = set()
                 group.append(row)
-        made.update(compare(group, *last) if len(group) > 1 else ())
+        if len(group) > 1:
+            yield from compare(group, *last)
+
+    def run(it):
+        made = set()
+        for pair in groups(it):
+            made.add(pair)
+            if len(made) >= HELD:
+                yield _pairs(list(made))
+                made = set()
         if made:
             yield _pairs(list(made))
 
@@ -261,24 +318,32 @@ def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["a1", "a2", "b1", "b2", "apart"])
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The pairs with their smaller class first."""
+    a, b = F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y"))
+    low, high = F.least(a, b), F.greatest(a, b)
+    return pairs.select(low["x"].alias("a1"), low["y"].alias("a2"), high["x"].alias("b1"), high["y"].alias("b2"))
+
+
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set)."""
     limit = Threshold(percent)
     rows, counts = signatures(docs, width, doc_id, text)
     total = rows.count()
-    classes = stash(rows.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-
-    index = prefixes(docs, counts, width, limit, text)
-    # an n-gram of one class only links nothing
-    groups = stash(index.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members"), "ngrams")
-    shared = _members(docs, index, groups, counts, width, limit, text)
-
-    shared = _with_company(shared, percent)
-    sets = class_sets(docs, stash(shared.select("c1", "c2").distinct(), "wanted"), width, text)
+    classes = stash(rows.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n")), "classes")
+
+    index = prefixes(docs, counts, width, limit, Ids(classes.filter(F.col("n") >= limit.least).select("rep")), doc_id, text)
+    # an n-gram of one class only links nothing; copies that the filter of ids let pass go in ``_members``
+    groups = stash(index.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "ngrams")
+    shared = _members(docs, index, groups)
+    company = _with_company(shared, percent)
+    discard(groups, shared)
+    shared = company
+    wanted = stash(shared.select("c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("rep"), "wanted")
+    sets = class_sets(docs, wanted, width, doc_id, text)
 
     # central classes, of whose prefix most n-grams are shared, are tried first: the least edited text of a family links most others
-    central = shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central"))
-    central = stash(central, "central")
+    central = stash(shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central")), "central")
     led = shared.join(central, ["c1", "c2"])
     leaders = led.groupBy("h", "band").agg(F.max(F.struct("central", "n", "c1", "c2", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = stash(leaders, "leaders")
@@ -287,6 +352,7 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     tried = tried.filter((F.col("first.c1") != F.col("c1")) | (F.col("first.c2") != F.col("c2"))).filter(F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= need)
     best = tried.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first.c1").alias("a1"), F.col("first.c2").alias("a2")).agg(F.count(F.lit(1)).alias("common"), F.max("first.central").alias("central"))
     best = best.groupBy("b1", "b2").agg(F.max(F.struct("common", "central", "a1", "a2")).alias("best")).select(F.col("best.a1").alias("a1"), F.col("best.a2").alias("a2"), "b1", "b2")
+    best = stash(_ordered(best).distinct(), "tried")
     stars = stash(verify(best, sets, limit), "stars")
 
     def by_rep(pairs):
@@ -295,14 +361,15 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
 
     links = stash(by_rep(stars), "star_links")
     found = stash(components(links), "star_components")
-    placed = stash(
-        classes.join(found, classes.rep == found.node, "left").select("c1", "c2", "rep", "n_copies", F.coalesce("component", "rep").alias("component")),
-        "placed",
-    )
-    labelled = stash(shared.join(placed.select("c1", "c2", "component"), ["c1", "c2"]), "labelled")
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    open_rows = labelled.join(mixed, "h", "left_semi").join(sets.select("c1", "c2", "ranges"), ["c1", "c2"])
-    pairs = stash(across(open_rows, limit), "across")
+    # from here on only classes in company count
+    placed = shared.select("c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(found, F.col("rep") == F.col("node"), "left")
+    placed = stash(placed.select("c1", "c2", F.coalesce("component", "rep").alias("component")), "placed")
+    labelled = stash(shared.select("h", "c1", "c2", "n", "pos").join(placed, ["c1", "c2"]), "labelled")
+    mixed = stash(labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("h", "members"), "mixed")
+    of_mixed = attach_groups(labelled, mixed, ["h"], "members", labelled.count()).filter("members is not null")
+    pairs = across(of_mixed.join(sets.select("c1", "c2", "ranges"), ["c1", "c2"]), limit)
+    pairs = stash(pairs.join(best, ["a1", "a2", "b1", "b2"], "left_anti"), "across")  # what failed already needs no second look
+    discard(leaders, central, labelled, mixed, placed, stars, company)
     if not pairs.isEmpty():
         # the nearest partner of each class first: most other pairs are inside one component then
         nearest = pairs.groupBy("a1", "a2").agg(F.min(F.struct("apart", "b1", "b2")).alias("m")).select("a1", "a2", "m.b1", "m.b2")
@@ -317,7 +384,9 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
         rest = stash(rest.join(nearest, ["a1", "a2", "b1", "b2"], "left_anti"), "rest")
         if not rest.isEmpty():
             found = stash(components(links.unionAll(by_rep(verify(rest, sets, limit)))), "components")
+        discard(nearest, label, rest)
     final = stash(classes.join(found, classes.rep == found.node, "left").select("c1", "c2", "n_copies", F.coalesce("component", "rep").alias("component_id")), "final")
+    discard(best, pairs, sets, wanted, classes, found)
 
     linked, alone = rows.filter("n > 0 and doc_id is not null"), rows.filter("n = 0 or doc_id is null")
     out = attach_groups(linked, final, ["c1", "c2"], "n_copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
@@ -329,19 +398,13 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFra
     n = gone.count()
     if not n:
         return docs
-    size = min(MOST_CELLS, max(64, 16 * n // 8 * 8))
-
-    def hashed(column):
-        x = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return mix64(x), mix64(x + np.uint64(1))
-
-    plane = session_of(docs).sparkContext.broadcast(build_planes(gone.select(F.col("doc_id").cast("long")), lambda b: hashed(b.column(0)), size).once)
+    ids = Ids(gone.select(F.col("doc_id").cast("long")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"))
     schema = T.StructType([packed.schema["row"], packed.schema["id"], T.StructField("maybe", T.BooleanType())])
 
     def probe(it):
         for batch in it:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Planes.hit(plane.value, size, *hashed(batch.column(1))))], ["row", "id", "maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Planes.hit(ids.plane.value, ids.size, *_id_hashes(batch.column(1))))], ["row", "id", "maybe"])
 
     marked = arrow_map(packed, probe, schema)
     decided = marked.filter("maybe").join(gone.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
@@ -363,8 +426,8 @@ def _with_company(shared: DataFrame, percent: int) -> DataFrame:
     return stash(kept.select("h", "c1", "c2", "n", "pos", "band"), "company")
 
 
-def _members(docs: DataFrame, index: DataFrame, groups: DataFrame, counts: np.ndarray, width: int, limit: Threshold, text: str) -> DataFrame:
-    """Rows of ``index`` whose n-gram more than one class has."""
+def _members(docs: DataFrame, index: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``index`` whose n-gram is in ``groups``, once per class."""
     counted = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
     size = min(MOST_CELLS, max(64, 16 * counted.n // 8 * 8))
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -80,6 +81,25 @@ def test_ngram_join_family_and_empty(spark, monkeypatch):
     assert ngram_join.similarity_classes(empty(spark)).count() == 0
 
 
+def test_ngram_join_long_words_and_sizes(spark):
+    """Words that collide under polynomial hashes modulo 2 ** 64, one-word texts of a megabyte, and families of many sizes."""
+    tm = "a"
+    for _ in range(10):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(4)
+    rows = [(1, f"p q r {tm} s t u"), (2, f"p q r {other} s t u"), (3, "x" * 1_000_000), (4, "x" * 1_000_001), (5, "X" * 1_000_000), (6, tm[:400]), (7, other[:400])]
+    for size in (9, 30, 130, 700, 5000):
+        base = [f"w{size}_{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(6):
+            v = list(base)
+            for _ in range(rng.randrange(1 + size // 20)):
+                v[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) + 1, " ".join(v[: size - rng.randrange(1 + size // 30)])))
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (None, 1), (2, 1)], "a long, b long")
     assert sorted(map(tuple, components.components(links).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
@@ -292,7 +312,7 @@ def test_codecs_equal_library(text):
     c, tk = bpe.codec(BYTE), TOKENIZERS[0]
     ids = tk.encode(text, add_special_tokens=False).ids
     assert c.encode(text) == ids and c.decode(ids) == tk.decode(ids, skip_special_tokens=False)
-    assert np.frombuffer(packing.encoder(WORD).encode([text])[0], "<u4").tolist() == TOKENIZERS[1].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(WORD).encode(pa.array([text]))[0], "<u2").tolist() == TOKENIZERS[1].encode(text, add_special_tokens=False).ids
 
 
 TOKENIZERS = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
