@@ -140,40 +140,37 @@ class Ids:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold, reps: Ids, doc_id: str, text: str) -> DataFrame:
-    """(h, c1, c2, n, pos): the rarest n-grams of each set, for rows that may stand for their class."""
+    """(h, rep, n, pos): the rarest n-grams of each set, for rows that may stand for their class."""
     shared = session_of(docs).sparkContext.broadcast(counts)
     least = limit.least
 
     def run(it):
-        seen: set = set()
         for batch in it:
             for some in slices(reps.of(batch), 1):
-                hs, c1, c2, ns, ps = [], [], [], [], []
-                for s in shingle_sets(some.column(1), width):
-                    if len(s) < least or (key := class_key(s)) in seen:
+                hs, reps_, ns, ps = [], [], [], []
+                for i, s in zip(some.column(0).to_pylist(), shingle_sets(some.column(1), width), strict=True):
+                    if len(s) < least:
                         continue
-                    seen.add(key)
                     p = limit.prefix(len(s))
                     often = np.minimum(*(row[cell] for row, cell in zip(shared.value, _cells(s), strict=True)))
                     order = np.lexsort((s, often))[:p]
                     hs.append(s[order].view(np.int64))
-                    c1.append(np.full(p, key[0]))
-                    c2.append(np.full(p, key[1]))
+                    reps_.append(np.full(p, i))
                     ns.append(np.full(p, len(s)))
                     ps.append(np.arange(p))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (c1, np.int64), (c2, np.int64), (ns, np.int32), (ps, np.int32))], ["h", "c1", "c2", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (reps_, np.int64), (ns, np.int32), (ps, np.int32))], ["h", "rep", "n", "pos"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "h long, c1 long, c2 long, n int, pos int")
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "h long, rep long, n int, pos int")
 
 
-def _ranges(s: np.ndarray) -> bytes:
-    """How many n-grams of a set fall in each of 2 ** k hash ranges, about four a range, at least 16 ranges and at most 1,024.
+def _ranges(s: np.ndarray, each: int) -> bytes:
+    """How many n-grams of a set fall in each of 2 ** k hash ranges, about ``each`` (a power of two) a range, at least 16 ranges and at most 1,024.
 
     Counts are kept modulo 16, half a byte each: the distance on that circle is
     never more than the true difference, so the bound holds.
     """
-    bits = min(10, max(4, len(s).bit_length() - 3))
+    bits = min(10, max(4, len(s).bit_length() - each.bit_length()))
     c = (np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15).astype(np.uint8)
     return (c[::2] << 4 | c[1::2]).tobytes()
 
@@ -205,40 +202,68 @@ class Ranges:
         return out
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(c1, c2, set, ranges) of the rows whose ids are in ``wanted``: sorted n-grams as 64-bit numbers, and their range counts.  Texts are not shuffled."""
+def class_ranges(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(rep, n, coarse, fine) of the rows whose ids are in ``wanted``: range counts of their sets."""
     ids = Ids(wanted)
 
     def run(it):
-        seen: set = set()
         for batch in it:
             for some in slices(ids.of(batch), 1):
                 sets = shingle_sets(some.column(1), width)
-                keys = [class_key(s) for s in sets]
-                picked = [i for i, k in enumerate(keys) if len(sets[i]) and k not in seen and not seen.add(k)]
-                if picked:
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([keys[i][j] for i in picked], pa.int64()) for j in (0, 1)), pa.array([sets[i].tobytes() for i in picked], pa.binary()), pa.array([_ranges(sets[i]) for i in picked], pa.binary())], ["c1", "c2", "set", "ranges"]
-                    )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), sizes, *(pa.array([_ranges(s, each) for s in sets], pa.binary()) for each in (16, 4))], ["rep", "n", "coarse", "fine"])
 
-    return stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "c1 long, c2 long, set binary, ranges binary"), "sets", codec="none")
+    return stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "rep long, n long, coarse binary, fine binary"), "ranges")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) whose sets are similar enough."""
-    pairs = pairs.select("a1", "a2", "b1", "b2")
+def near(pairs: DataFrame, ranges: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a, b) that the fine suffix filter lets pass, with ``apart``: the least possible symmetric difference."""
+    side = lambda x: ranges.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(it):
+        for batch in it:
+            for some in slices(batch, 4):
+                na, nb = (some.column(i).to_numpy() for i in (2, 3))
+                if not len(na):
+                    continue
+                table = Ranges([x.as_py() for x in some.column(4)] + [x.as_py() for x in some.column(5)])
+                apart = np.array([table.apart(i, np.array([len(na) + i]))[0] for i in range(len(na))], np.int64)
+                ok = apart <= na + nb - 2 * limit.overlap(na, nb)
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(apart)], ["a", "b", "apart"]).filter(pa.array(ok))
+
+    return arrow_map(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b"), run, "a long, b long, apart long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, width: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    Only sets of documents in a pair move, as sorted n-grams of 64 bits; texts do not.
+    """
+    pairs = stash(pairs.select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ids = Ids(stash(ends, "ends"))
+
+    def emit(it):
+        for batch in it:
+            for some in slices(ids.of(batch), 1):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in shingle_sets(some.column(1), width)], pa.binary())], ["rep", "set"])
+
+    sets = stash(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), emit, "rep long, set binary"), "sets", codec="none")
+    few = pairs.count() <= FEW
 
     def side(x: str) -> DataFrame:
-        own = sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}"))
-        ends = stash(pairs.select(f"{x}1", f"{x}2").distinct(), "ends")
-        return own.join(F.broadcast(ends), [f"{x}1", f"{x}2"], "left_semi") if ends.count() <= FEW else own  # sets of other classes need not move
+        """(a, b, set) of one end; the pairs go by broadcast if they are few, so that a set moves once a pair."""
+        return sets.select(F.col("rep").alias(x), "set").join(F.broadcast(pairs) if few else pairs, x).select("a", "b", "set")
 
-    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    # a side of a pair is a row; equal ids with several texts make several rows of it, any of which may do
+    both = side("a").withColumn("at", F.lit(0)).unionAll(side("b").withColumn("at", F.lit(1)))
+    both = both.groupBy("a", "b").agg(F.collect_list(F.struct("at", "set")).alias("sets"))
     cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
         need = limit.overlap(len(a), len(b))
-        if need > min(len(a), len(b)):
+        if not need or need > min(len(a), len(b)):
             return False
         ca, cb = (np.diff(np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]])) for x in (a, b))
         if np.abs(ca - cb).sum() > len(a) + len(b) - 2 * need:
@@ -248,51 +273,56 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
     def check(it):
         for batch in it:
-            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
+            ok = []
+            for found in batch.column(2):
+                own = {0: set(), 1: set()}
+                for x in found:
+                    own[x["at"].as_py()].add(x["set"].as_py())
+                ok.append(any(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x in own[0] for y in own[1]))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(both.select("a1", "a2", "b1", "b2", "set_a", "set_b"), check, "a1 long, a2 long, b1 long, b2 long")
+    out = stash(arrow_map(both, check, "a long, b long"), "verified")
+    discard(sets)
+    return out
 
 
 def across(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs (a1, a2, b1, b2, apart) of different components that share an n-gram and pass the length, positional and suffix filters, once each.
+    """Pairs (a, b) of different components that share an n-gram and pass the length, positional and coarse suffix filters, once each.
 
-    ``rows``: (h, c1, c2, n, pos, component, ranges).  A task makes a pair once
+    ``rows``: (h, rep, n, pos, component, coarse).  A task makes a pair once
     among HELD pairs, and a distinct follows.  N-grams of more than BLOCK classes are dealt in pairs of
     blocks, so no task holds more than two blocks of classes.
     """
-    sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")  # few: each has BLOCK rows
+    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     parts = int(session_of(rows).conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("h", "i", "j", "own", "n", "c1", "c2", "pos", "component", "ranges")
+    dealt = dealt.select("h", "i", "j", "own", "n", "rep", "pos", "component", "coarse")
     dealt = dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
     def compare(group: list[tuple], h: int, i: int, j: int):
-        own, n, c1, c2, pos, comp = (np.array([x[k] for x in group]) for k in range(6))
-        ranges = Ranges([x[6] for x in group])
+        own, n, rep, pos, comp = (np.array([x[k] for x in group]) for k in range(5))
+        ranges = Ranges([x[5] for x in group])
         for k in range(1, len(group)):  # sorted by n: partners before k are no larger
             lo = int(np.searchsorted(n, -(-limit.percent * n[k] // 100)))
             if lo >= k:
                 continue
             need = limit.overlap(n[lo:k], n[k])
-            ok = (comp[lo:k] != comp[k]) & (1 + np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) - 1 >= need)
+            ok = (comp[lo:k] != comp[k]) & (np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) >= need)
             if i != j:
                 ok &= own[lo:k] != own[k]
-            near = lo + np.flatnonzero(ok)
-            if len(near):
-                far = ranges.apart(k, near)  # suffix filter
-                apart = dict(zip(near.tolist(), far.tolist(), strict=True))
-                near = near[far <= n[near] + n[k] - 2 * limit.overlap(n[near], n[k])]
-            for m in near.tolist():
-                a, b = (c1[m], c2[m]), (c1[k], c2[k])
-                yield (*a, *b, apart[m]) if a < b else (*b, *a, apart[m])
+            close = lo + np.flatnonzero(ok)
+            if len(close):  # suffix filter
+                close = close[ranges.apart(k, close) <= n[close] + n[k] - 2 * limit.overlap(n[close], n[k])]
+            for m in close.tolist():
+                yield (rep[m], rep[k]) if rep[m] < rep[k] else (rep[k], rep[m])
 
     def groups(it):
         group, last = [], None
         for batch in it:
-            for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+            for h, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if (h, i, j) != last:
                     if len(group) > 1:
                         yield from compare(group, *last)
@@ -311,82 +341,66 @@ def across(rows: DataFrame, limit: Threshold) -> DataFrame:
         if made:
             yield _pairs(list(made))
 
-    return arrow_map(dealt, run, "a1 long, a2 long, b1 long, b2 long, apart long").distinct()
+    return arrow_map(dealt, run, "a long, b long").distinct()
 
 
 def _pairs(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["a1", "a2", "b1", "b2", "apart"])
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """The pairs with their smaller class first."""
-    a, b = F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y"))
-    low, high = F.least(a, b), F.greatest(a, b)
-    return pairs.select(low["x"].alias("a1"), low["y"].alias("a2"), high["x"].alias("b1"), high["y"].alias("b2"))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set)."""
     limit = Threshold(percent)
+    of = (width, limit, doc_id, text)
     rows, counts = signatures(docs, width, doc_id, text)
     total = rows.count()
     classes = stash(rows.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n")), "classes")
+    reps = stash(classes.filter(F.col("n") >= limit.least).select("rep").distinct(), "reps")
 
-    index = prefixes(docs, counts, width, limit, Ids(classes.filter(F.col("n") >= limit.least).select("rep")), doc_id, text)
+    index = prefixes(docs, counts, width, limit, Ids(reps), doc_id, text)
     # an n-gram of one class only links nothing; copies that the filter of ids let pass go in ``_members``
     groups = stash(index.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "ngrams")
-    shared = _members(docs, index, groups)
-    company = _with_company(shared, percent)
-    discard(groups, shared)
-    shared = company
-    wanted = stash(shared.select("c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("rep"), "wanted")
-    sets = class_sets(docs, wanted, width, doc_id, text)
+    members = _members(docs, index, groups, reps)
+    shared = _with_company(members, percent)
+    discard(groups, members, reps)
+    ranges = class_ranges(docs, stash(shared.select("rep").distinct(), "wanted"), width, doc_id, text)
 
     # central classes, of whose prefix most n-grams are shared, are tried first: the least edited text of a family links most others
-    central = stash(shared.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("central")), "central")
-    led = shared.join(central, ["c1", "c2"])
-    leaders = led.groupBy("h", "band").agg(F.max(F.struct("central", "n", "c1", "c2", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    central = stash(shared.groupBy("rep").agg(F.count(F.lit(1)).alias("central")), "central")
+    led = shared.join(central, "rep")
+    leaders = led.groupBy("h", "band").agg(F.max(F.struct("central", "n", "rep", "pos")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = stash(leaders, "leaders")
-    tried = attach_groups(shared, leaders, ["h", "band"], "size", shared.count()).filter("first is not null")
+    tried = attach_groups(shared, leaders, ["h", "band"], "size", shared.count()).filter("first is not null and first.rep <> rep")
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("first.n")) / F.lit(100.0 + percent) - 1e-9)
-    tried = tried.filter((F.col("first.c1") != F.col("c1")) | (F.col("first.c2") != F.col("c2"))).filter(F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= need)
-    best = tried.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first.c1").alias("a1"), F.col("first.c2").alias("a2")).agg(F.count(F.lit(1)).alias("common"), F.max("first.central").alias("central"))
-    best = best.groupBy("b1", "b2").agg(F.max(F.struct("common", "central", "a1", "a2")).alias("best")).select(F.col("best.a1").alias("a1"), F.col("best.a2").alias("a2"), "b1", "b2")
-    best = stash(_ordered(best).distinct(), "tried")
-    stars = stash(verify(best, sets, limit), "stars")
-
-    def by_rep(pairs):
-        ends = pairs.join(classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("rep").alias("a")), ["a1", "a2"])
-        return ends.join(classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("rep").alias("b")), ["b1", "b2"]).select("a", "b")
-
-    links = stash(by_rep(stars), "star_links")
+    tried = tried.filter(F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= need)
+    best = tried.groupBy(F.col("rep").alias("b"), F.col("first.rep").alias("a")).agg(F.count(F.lit(1)).alias("common"), F.max("first.central").alias("central"))
+    best = best.groupBy("b").agg(F.max(F.struct("common", "central", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b"))
+    best = stash(best.distinct(), "tried")
+    links = verify(docs, near(best, ranges, limit), *of)
     found = stash(components(links), "star_components")
     # from here on only classes in company count
-    placed = shared.select("c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(found, F.col("rep") == F.col("node"), "left")
-    placed = stash(placed.select("c1", "c2", F.coalesce("component", "rep").alias("component")), "placed")
-    labelled = stash(shared.select("h", "c1", "c2", "n", "pos").join(placed, ["c1", "c2"]), "labelled")
+    placed = shared.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    labelled = stash(shared.select("h", "rep", "n", "pos").join(placed.join(ranges.select("rep", F.col("n").cast("int").alias("n"), "coarse"), "rep"), ["rep", "n"]), "labelled")
     mixed = stash(labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("h", "members"), "mixed")
-    of_mixed = attach_groups(labelled, mixed, ["h"], "members", labelled.count()).filter("members is not null")
-    pairs = across(of_mixed.join(sets.select("c1", "c2", "ranges"), ["c1", "c2"]), limit)
-    pairs = stash(pairs.join(best, ["a1", "a2", "b1", "b2"], "left_anti"), "across")  # what failed already needs no second look
-    discard(leaders, central, labelled, mixed, placed, stars, company)
+    of_mixed = attach_groups(labelled, mixed, ["h"], "members", labelled.count()).filter("members is not null").drop("members")
+    pairs = across(of_mixed, limit).join(best, ["a", "b"], "left_anti")  # what was tried needs no second look
+    pairs = stash(near(pairs, ranges, limit), "across")
+    discard(leaders, central, labelled, mixed, shared)
     if not pairs.isEmpty():
         # the nearest partner of each class first: most other pairs are inside one component then
-        nearest = pairs.groupBy("a1", "a2").agg(F.min(F.struct("apart", "b1", "b2")).alias("m")).select("a1", "a2", "m.b1", "m.b2")
-        nearest = nearest.unionByName(pairs.groupBy("b1", "b2").agg(F.min(F.struct("apart", "a1", "a2")).alias("m")).select("m.a1", "m.a2", "b1", "b2")).distinct()
-        nearest = stash(nearest, "nearest")
-        links = stash(links.unionAll(by_rep(verify(nearest, sets, limit))), "links")
+        nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")
+        nearest = stash(nearest.unionByName(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))).distinct(), "nearest")
+        links = stash(links.unionAll(verify(docs, nearest, *of)), "links")
         found = stash(components(links), "components")
-        label = classes.join(found, classes.rep == found.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-        label = stash(label, "labels")
-        side = lambda x: label.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("component").alias(x))
-        rest = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).filter("a <> b").select("a1", "a2", "b1", "b2")
-        rest = stash(rest.join(nearest, ["a1", "a2", "b1", "b2"], "left_anti"), "rest")
+        side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+        rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(apart).select("a", "b")
+        rest = stash(rest.join(nearest, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            found = stash(components(links.unionAll(by_rep(verify(rest, sets, limit)))), "components")
-        discard(nearest, label, rest)
+            found = stash(components(links.unionAll(verify(docs, rest, *of))), "components")
+        discard(nearest, rest)
     final = stash(classes.join(found, classes.rep == found.node, "left").select("c1", "c2", "n_copies", F.coalesce("component", "rep").alias("component_id")), "final")
-    discard(best, pairs, sets, wanted, classes, found)
+    discard(best, pairs, ranges, classes, found, links)
 
     linked, alone = rows.filter("n > 0 and doc_id is not null"), rows.filter("n = 0 or doc_id is null")
     out = attach_groups(linked, final, ["c1", "c2"], "n_copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
@@ -423,11 +437,11 @@ def _with_company(shared: DataFrame, percent: int) -> DataFrame:
     around = stash(around, "bands")
     total = around.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
     kept = attach_groups(shared, around.select("h", "band", "own"), ["h", "band"], "own", total).filter("own is not null")
-    return stash(kept.select("h", "c1", "c2", "n", "pos", "band"), "company")
+    return stash(kept.select("h", "rep", "n", "pos", "band"), "company")
 
 
-def _members(docs: DataFrame, index: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of ``index`` whose n-gram is in ``groups``, once per class."""
+def _members(docs: DataFrame, index: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of ``index`` whose n-gram is in ``groups`` and whose document stands for its class, once each."""
     counted = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
     size = min(MOST_CELLS, max(64, 16 * counted.n // 8 * 8))
 
@@ -441,6 +455,5 @@ def _members(docs: DataFrame, index: DataFrame, groups: DataFrame) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array(Planes.hit(plane.value, size, *keys(batch))))
 
-    hits = arrow_map(index, probe, index.schema)
-    rows = attach_groups(hits.select("h", "c1", "c2", "n", "pos"), groups, ["h"], "members", counted.rows).filter("members is not null")
-    return stash(rows.groupBy("h", "c1", "c2").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "shared")
+    rows = attach_groups(arrow_map(index, probe, index.schema), groups, ["h"], "members", counted.rows).filter("members is not null")
+    return stash(rows.select("h", "rep", "n", "pos").join(reps, "rep", "left_semi").distinct(), "shared")
