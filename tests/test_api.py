@@ -21,3 +21,36 @@ def test_store(spark):
     assert [r.v for r in s.log("/n/a").collect()] == [1, 2]
     with pytest.raises(Refused, match="quota"):
         s.put("/n/c", b"x" * 99)
+
+
+def test_uploads_and_administration(spark):
+    s = Store.empty(spark, chunk_size=4)
+    s, up = s.begin("/n/r", 10, request="q")
+    assert s.begin("/n/r", 10, request="q")[1] == up
+    s = s.append(up, 0, b"abcdefgh")
+    assert s.offset(up) == 8
+    with pytest.raises(Refused, match="offset"):
+        s.append(up, 4, b"xx")
+    with pytest.raises(Refused, match="invalid"):
+        s.append(up, 8, b"toolong")
+    with pytest.raises(Refused, match="unclaimed"):
+        s.commit(up)
+    s = s.append(up, 8, b"ij").commit(up)
+    assert s.get("/n/r") == b"abcdefghij"
+    s = s.delete("/n/r").undelete("/n/r")
+    assert s.get("/n/r") == b"abcdefghij" and [(r.v, r.size) for r in s.list("/n/").collect()] == [(3, 10)]
+    assert [r.idx for r in s.stat("/n/r").collect()] == [0, 1, 2]
+    s, other = s.begin("/n/x", 4)
+    with pytest.raises(Refused, match="not found"):
+        s.abort(other).commit(other)
+
+
+def test_node_admin(spark):
+    s = Store.empty(spark)
+    s = Store(spark, s.ops, s.chunks, s.locations, spark.createDataFrame([(1, 1, 0, True, False, "active")], s.nodes.schema))
+    with pytest.raises(Refused):
+        s.node_admin(1, "decommissioned")
+    s = s.node_admin(1, "draining").node_admin(1, "decommissioned")
+    with pytest.raises(Refused):
+        s.node_admin(1, "draining")
+    assert [r.admin for r in s.node_admin(1, "active").nodes.collect()] == ["active"]

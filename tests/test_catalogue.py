@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tessera.plans.lifecycle  # noqa: F401
 from tessera.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
