@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 DATA, PARITY, SHARDS = 4, 2, 6
 #: Field polynomial x^8 + x^4 + x^3 + x^2 + 1, block head of one slot byte and 32 of stripe id.
-POLYNOMIAL, HEAD, SALT = 0x11D, 33, b"ec-4+2:"
+POLYNOMIAL, HEAD = 0x11D, 33
+#: What stripe ids are salted with; stripes of another system keep their ids if its salt is passed to ``encode_chunks``.
+SALT = b"ec-4+2:"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def rebuild(shards: dict[int, bytes], slot: int) -> bytes:
     return _combine(MATRIX[slot], data).tobytes()
 
 
-def encode_chunks(chunks: DataFrame) -> DataFrame:
+def encode_chunks(chunks: DataFrame, salt: bytes = SALT) -> DataFrame:
     """(id, size, stripe, slot, shard, block_id) of chunks (id, size, data); empty chunks give no row."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +102,7 @@ def encode_chunks(chunks: DataFrame) -> DataFrame:
             out = []
             for i, size, data in zip(batch["id"], batch["size"], batch["data"], strict=True):
                 if data is not None and len(data):
-                    stripe = hashlib.sha256(SALT + bytes.fromhex(i)).digest()
+                    stripe = hashlib.sha256(salt + bytes.fromhex(i)).digest()
                     for slot, s in enumerate(encode(bytes(data))):
                         out.append((i, size, stripe.hex(), slot, s, hashlib.sha256(bytes([slot]) + stripe + s).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "size", "stripe", "slot", "shard", "block_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,38 +16,32 @@ def repair_queue(copies: DataFrame, factor: int) -> DataFrame:
     return c.select(F.when(F.col("alive") == 0, 0).otherwise(1).cast("long").alias("class"), F.col("alive").cast("long").alias("rank"), "id").orderBy("class", "rank", "id")
 
 
-def repair_targets(needy: DataFrame, locations: DataFrame, nodes: DataFrame, rack_use: DataFrame, tries: int = 64) -> DataFrame:
+def _first_missing(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(keys, gap): the smallest number from 1 on that a key's rows lack."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(number))
+    return rows.select(*keys, number).distinct().withColumn("nth", nth).groupBy(*keys).agg((1 + F.coalesce(F.max(F.when(F.col("nth") == F.col(number), F.col("nth"))), F.lit(0))).alias("gap"))
+
+
+def repair_targets(needy: DataFrame, locations: DataFrame, nodes: DataFrame, rack_use: DataFrame) -> DataFrame:
     """(id, target): per chunk one more node without a copy, on the racks that it uses least; fast before slow, then least used, then by node.
 
-    Racks are few, so the best free nodes of each are ranked once; of them a
-    chunk looks at ``tries`` a rack, which is enough while it has fewer holders.
+    Nodes are ranked within their racks and racks by their first node, once.  A rack
+    without a copy beats all others, so the first rank that a chunk's racks lack names
+    its rack, whose first node holds nothing of it.  Only a chunk that uses every rack
+    looks at nodes: of each of its racks at the first place that its holders lack.
     """
-    ok = nodes.filter("alive and admin = 'active'")
-    best = ok.withColumn("place", F.row_number().over(Window.partitionBy("rack").orderBy("slow", "used", "node"))).filter(F.col("place") <= tries)
-    per_rack = best.groupBy("rack").agg(F.array_sort(F.collect_list(F.struct("slow", "used", "node"))).alias("best"))
-    racks = per_rack.agg(F.collect_list(F.struct("rack", "best")).alias("racks"))  # racks x tries entries
-    held = locations.groupBy("id").agg(F.collect_set("node").alias("holders"))
-    on_rack = rack_use.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rack", "copies"))).alias("use"))
-    listed = racks.first()
-    if listed is None or not listed.racks:
-        return needy.select("id", F.lit(None).cast("long").alias("target")).filter("false")
-    literal = F.array(*[F.struct(F.lit(r.rack).alias("rack"), F.array(*[F.struct(F.lit(b.slow).alias("slow"), F.lit(b.used).alias("used"), F.lit(b.node).alias("node")) for b in r.best]).alias("best")) for r in sorted(listed.racks)])
-    n = needy.join(held, "id", "left").join(on_rack, "id", "left")
-    holders = F.coalesce("holders", F.array().cast("array<bigint>"))
-    free = F.flatten(
-        F.transform(
-            literal,
-            lambda r: F.slice(
-                F.transform(
-                    F.filter(r["best"], lambda b: ~F.array_contains(holders, b["node"])),
-                    lambda b: F.struct(F.coalesce(F.element_at("use", r["rack"]), F.lit(0)).alias("use"), b["slow"].alias("slow"), b["used"].alias("used"), b["node"].alias("node")),
-                ),
-                1,
-                1,
-            ),
-        )
-    )
-    return n.select("id", F.array_min(free)["node"].alias("target")).filter("target is not null")
+    ok = nodes.filter("alive and admin = 'active'").select("node", "rack", "slow", "used")
+    best = ok.withColumn("place", F.row_number().over(Window.partitionBy("rack").orderBy("slow", "used", "node")))
+    firsts = best.filter("place = 1").withColumn("rk", F.row_number().over(Window.orderBy("slow", "used", "node")))  # a row a rack
+    use = rack_use.join(needy.select("id"), "id", "left_semi").join(firsts.select("rack", "rk"), "rack")
+    gap = needy.select("id").join(_first_missing(use, ["id"], "rk"), "id", "left").select("id", F.coalesce("gap", F.lit(1)).alias("rk"))
+    spare = gap.join(firsts.select("rk", F.col("node").alias("target")), "rk", "left")
+    full = spare.filter("target is null").select("id")
+    places = locations.join(full, "id", "left_semi").join(best.select("node", "rack", "place"), "node")
+    free = use.join(full, "id", "left_semi").join(_first_missing(places, ["id", "rack"], "place"), ["id", "rack"], "left")
+    free = free.select("id", "rack", "copies", F.coalesce("gap", F.lit(1)).alias("place")).join(best, ["rack", "place"])
+    least = free.groupBy("id").agg(F.min(F.struct("copies", "slow", "used", "node")).alias("m")).select("id", F.col("m.node").alias("target"))
+    return spare.filter("target is not null").select("id", "target").unionByName(least)
 
 
 def trim_victims(locations: DataFrame, nodes: DataFrame, factor: int) -> DataFrame:
@@ -114,32 +109,41 @@ def _ordered(df: DataFrame, by: list[str], schema: str, fn) -> DataFrame:
         for batch in it:
             yield fn(batch, state)
 
-    return df.coalesce(1).sortWithinPartitions(*by).mapInPandas(run, schema)
+    return df.repartition(1).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
-def place(chunks: DataFrame, nodes: DataFrame, copies: int = 3) -> DataFrame:
+def place(chunks: DataFrame, nodes: DataFrame, copies: int = 3, least: int = 1) -> DataFrame:
     """(id, node, ordinal): per chunk, in order of id, nodes on the racks that it uses least; fast before slow, then least loaded with what this plan has placed, then by node.
 
     A load feeds back in every later choice, so the plan is a sequence; only
-    the table of nodes is held.
+    the table of nodes is held, as a heap a rack, so a copy costs the racks and the
+    logarithm of the nodes.  A chunk for which fewer than ``least`` nodes fit is not placed.
     """
     fixed = [(r.node, r.rack, r.used, r.slow) for r in nodes.filter("alive and admin = 'active'").select("node", "rack", "used", "slow").collect()]  # the membership
 
     def step(batch: pd.DataFrame, state: dict) -> pd.DataFrame:
-        load = state.setdefault("load", {n: u for n, _, u, _ in fixed})
+        if not state:
+            for n, r, used, slow in fixed:
+                state.setdefault(r, []).append((slow, used, n))
+            for heap in state.values():
+                heapify(heap)
         out = []
         for i, size in zip(batch["id"], batch["size"], strict=True):
-            racks: dict = {}
-            taken: set = set()
-            for k in range(copies):
-                free = [(racks.get(r, 0), slow, load[n], n, r) for n, r, _, slow in fixed if n not in taken]
+            use: dict = {}
+            taken: list = []
+            for _ in range(copies):
+                free = [(use.get(r, 0), heap[0], r) for r, heap in state.items() if heap]
                 if not free:
                     break
-                _, _, _, n, r = min(free)
-                taken.add(n)
-                racks[r] = racks.get(r, 0) + 1
-                load[n] += size
-                out.append((i, n, k))
+                _, top, r = min(free)
+                heappop(state[r])  # not to be taken twice
+                taken.append((r, top))
+                use[r] = use.get(r, 0) + 1
+            fits = len(taken) >= least
+            for k, (r, (slow, load, n)) in enumerate(taken):
+                heappush(state[r], (slow, load + size if fits else load, n))
+                if fits:
+                    out.append((i, n, k))
         return pd.DataFrame(out, columns=["id", "node", "ordinal"])
 
     return _ordered(chunks.select("id", "size"), ["id"], "id long, node long, ordinal long", step)

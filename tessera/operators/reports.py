@@ -161,11 +161,11 @@ def token_bucket(requests: DataFrame, key: str, rate: float, burst: float) -> Da
 
 
 def ewma(samples: DataFrame, key: str) -> DataFrame:
-    """(key, seq, score): whole numbers with weight 1/4, the first sample sets; division truncates towards zero."""
+    """(key, seq, score): whole numbers with weight 1/4; the first sample sets, and so does one after a score of 0, which counts as unset; division truncates towards zero."""
 
     def step(state, row):
         v = int(row.latency_us)
-        if state is not None:
+        if state:
             d = v - state
             v = state + (abs(d) // 4) * (1 if d >= 0 else -1)
         return v, (row[0], row.seq, v)

@@ -640,7 +640,7 @@ def token_bucket(s, d):
 @query(
     """, o AS (SELECT client, seq, latency_us AS v, row_number() OVER (PARTITION BY client ORDER BY t, seq) AS n FROM samples),
     r AS (SELECT client, seq, v AS score, n FROM o WHERE n = 1
-          UNION ALL SELECT o.client, o.seq, r.score + sign(o.v - r.score)::BIGINT * (abs(o.v - r.score) // 4), o.n FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
+          UNION ALL SELECT o.client, o.seq, CASE WHEN r.score = 0 THEN o.v ELSE r.score + sign(o.v - r.score)::BIGINT * (abs(o.v - r.score) // 4) END, o.n FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
     SELECT client, seq, score FROM r""",
     ("samples",),
 )
