@@ -79,24 +79,29 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     ship(session_of(df))
 
     def run(it):
+        global _asked
+        _asked = False
         try:
             yield from fn(it)
         finally:
+            drop_kept()
             release()
 
     return df.mapInArrow(run, schema)
 
 
 _kept: tuple = (None, None)
+_asked = False
 
 
 def kept(make: Callable, *args):
     """``make(*args)``, remembered from task to task by a Python worker.
 
     One thing at a time: a worker serves many stages, and what the last operator
-    kept (a tokenizer with its caches) goes when the next one asks.
+    kept (a tokenizer with its caches) goes when a task asks for another or ends without asking.
     """
-    global _kept
+    global _kept, _asked
+    _asked = True
     if _kept[0] != (make, args):
         _kept = (None, None)
         release()
@@ -104,6 +109,12 @@ def kept(make: Callable, *args):
     return _kept[1]
 
 
+def drop_kept() -> None:
+    global _kept
+    if not _asked:
+        _kept = (None, None)
+
+
 def release() -> None:
     """Give freed memory back: a Python worker lives on and serves other stages."""
     pa.default_memory_pool().release_unused()

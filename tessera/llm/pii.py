@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, session_of, stash
+from tessera.llm.common import arrow_map, session_of, slices, stash
 
 BROADCAST, ATTEMPTS = 100_000, 64
 
@@ -289,7 +289,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (kind, canonical) of all texts."""
 
     def run(it):
-        for batch in it:
+        for batch in (some for whole in it for some in slices(whole, 0)):
             found = {(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)}
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["kind", "canonical"])
 
@@ -349,7 +349,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
         known = spark.sparkContext.broadcast({(r.kind, r.canonical): (r.own, r.attempt) for r in odd.collect()})
 
         def run(it):
-            for batch in it:
+            for batch in (some for whole in it for some in slices(whole, 1)):
                 got = [replace(t, key, known.value) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["row", "new_text", "n_replaced"])
 
@@ -358,7 +358,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
     keyed = stash(packed.withColumn("place", F.monotonically_increasing_id()), "rows")
 
     def mentions(it):
-        for batch in it:
+        for batch in (some for whole in it for some in slices(whole, 1)):
             got = [(p, k, c) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k, c in {(k, c) for _, _, k, c in find(t)}]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[i] for x in got], pa.string()) for i in (1, 2))], ["place", "kind", "canonical"])
 
@@ -366,7 +366,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
     need = need.groupBy("place").agg(F.collect_list(F.struct("kind", "canonical", "own", "attempt")).alias("odd"))  # at most the mentions of one text
 
     def run_own(it):
-        for batch in it:
+        for batch in (some for whole in it for some in slices(whole, 1)):
             got = [replace(t, key, {(x["kind"], x["canonical"]): (x["own"], x["attempt"]) for x in o or ()}) for t, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["row", "new_text", "n_replaced"])
 
