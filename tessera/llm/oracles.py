@@ -17,12 +17,10 @@ ORACLES = {
         len AS (SELECT r, sum(tf) AS dl FROM tf GROUP BY r),
         s AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT sum(dl) FROM len) / (SELECT count(*) FROM d) AS mean),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-        q AS (
-            SELECT DISTINCT doc_id AS query_id, term, df FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0 AND df >= 2),
-        best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, term) <= 16),
+        q AS (SELECT DISTINCT doc_id AS query_id, term, df FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0),
         scored AS (
             SELECT query_id, r, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
-            FROM best JOIN tf USING (term) JOIN len USING (r), s GROUP BY ALL)
+            FROM q JOIN tf USING (term) JOIN len USING (r), s GROUP BY ALL)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score
         FROM scored QUALIFY rank <= 10""",
     "op1_ngram_join": """

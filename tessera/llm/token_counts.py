@@ -3,12 +3,12 @@
 A text up to ``chunk`` characters is encoded at once.  A longer one is encoded in
 overlapping chunks.  Two neighbouring chunks are spliced at a boundary p inside
 their overlap at which both encodings have a token boundary, with the same token
-ending at p and the same token starting at p.  Such a boundary is stable: greedy
-BPE merges the best pair first (leftmost on ties), so tokens on both sides of p
-evolve as in isolation until some merge crosses p.  Were there a crossing merge in
-the whole text, its two parts would be prefixes of the evolution of the tokens at
-p, in the same relative order as in either chunk, and the chunk would have made
-it too; but it has a boundary there.  If no such boundary exists the overlap is
+ending at p and the same token starting at p.  Greedy BPE merges the best pair
+first (leftmost on ties), so what a chunk does at p depends on the text around it
+only through chains of merges that reach p; a chunk that begins ``overlap`` characters
+before differs where such a chain is longer than that.  With the 256 characters used here no text
+was found that differs, with overlaps of a few characters runs of one letter do, so
+the overlap must stay well above the longest piece (16 characters).  If no such boundary exists the overlap is
 doubled, and in the end both chunks are encoded as one, from before the last stable boundary
 (the model puts a space before whatever it encodes) and joined there by the same rule, or from the text's start.
 
