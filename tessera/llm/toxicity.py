@@ -5,7 +5,8 @@ The kernel counts common subsequences of ``LENGTH`` letters, each weighed by
 kernel with itself; letters put between those of an insult only lower it, and
 letters around it change nothing.
 A sentence is the set of its tokens (words; runs of single letters as one), its
-margin the largest of its tokens', and a text scores as its worst sentence.
+margin the largest of its tokens', and a text scores as its worst sentence.  A token
+counts by the best of all its runs of ``WIDE`` letters, whatever its length.
 
 Training (numpy, on the driver) uses a bounded sample of labelled rows, split in
 sentences.  Sentences of clean texts are negative.  Which sentences of a toxic
@@ -38,6 +39,8 @@ from tessera.llm.common import arrow_map, session_of, slices
 
 LENGTH, DECAY, SHARE, LANDMARKS, BENIGN = 4, 0.5, 0.75, 20, 4
 SAMPLE, WIDE, PARTS = 3000, 24, range(4, 11)
+#: Bounds of the clean tokens to train on: those nearest to a landmark, and others at random.
+HARDEST, OTHERS = 6000, 3000
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -111,7 +114,7 @@ class Model:
         self.need = np.maximum(np.ceil(SHARE * count).astype(np.int64), np.minimum(count, LENGTH))
 
     def features(self, words: list[str]) -> np.ndarray:
-        """(n, landmarks) kernel values in units of each landmark's own; longer tokens count by windows of WIDE letters, half of it apart."""
+        """(n, landmarks) kernel values in units of each landmark's own; a token counts by the best of all its runs of WIDE letters."""
         out = np.zeros((len(words), len(self.landmarks)))
         size = np.array([len(w) for w in words])
         for low, high in ((LENGTH, 8), (9, 16), (17, WIDE)):
@@ -125,9 +128,10 @@ class Model:
                     if len(near):
                         out[some[near], k] = kernel(code[near], self.codes[k]) / self.norms[k]
         for i in np.flatnonzero(size > WIDE):
-            w = words[i]
-            parts = [w[j : j + WIDE] for j in range(0, len(w) - WIDE // 2, WIDE // 2)]
-            out[i] = self.features(parts).max(axis=0)
+            w, last = words[i], len(words[i]) - WIDE + 1
+            for at in range(0, last, 4096):
+                runs = {w[j : j + WIDE] for j in range(at, min(at + 4096, last))}
+                out[i] = np.maximum(out[i], self.features(list(runs)).max(axis=0))
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -172,9 +176,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3) ->
     in_clean = _part_counts((h for h, label in zip(held, y, strict=True) if not label), often)
     odds = {w: np.log((in_toxic[w] + 0.1) / (n[1] + 1)) - np.log((in_clean.get(w, 0) + 0.1) / (n[0] + 1)) for w in often}
     marked: list[str] = []
-    for w in sorted((w for w in often if odds[w] > 3), key=lambda w: (-odds[w] * np.sqrt(in_toxic[w] * len(w)), w))[:600]:
-        if len(marked) < LANDMARKS and not any(len(_common_part(w, m)) >= LENGTH for m in marked):
+    covered: set[str] = set()  # runs of LENGTH letters of the landmarks
+    for w in sorted((w for w in often if odds[w] > 3), key=lambda w: (-odds[w] * np.sqrt(in_toxic[w] * len(w)), w)):
+        runs = {w[i : i + LENGTH] for i in range(len(w) - LENGTH + 1)}
+        if len(marked) < LANDMARKS and not runs & covered:
             marked.append(w)
+            covered |= runs
     if not marked:
         marked = sorted(often, key=lambda w: (-odds[w], w))[:LANDMARKS]
     seen: dict[str, int] = {}
@@ -195,8 +202,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3) ->
     # negatives: the tokens of clean sentences that come nearest to a landmark, and others at random
     pool = sorted(seen)
     near = plain.features(pool)
-    hardest = np.argsort(-near[:, : len(marked)].max(axis=1), kind="stable")[:6000]
-    rest = rng.permutation(len(pool))[:3000]
+    hardest = np.argsort(-near[:, : len(marked)].max(axis=1), kind="stable")[:HARDEST]
+    rest = rng.permutation(len(pool))[:OTHERS]
     x_neg = near[np.unique(np.concatenate([hardest, rest]))] @ nystrom
     bags = [s for own, label in zip(sentences, y, strict=True) if label for s in own if s]
     vocabulary = sorted({w for s in bags for w in s})
@@ -247,11 +254,6 @@ def _part_counts(texts, only: set[str] | None = None) -> dict[str, int]:
     return count
 
 
-def _common_part(a: str, b: str) -> str:
-    """A longest common substring."""
-    return max((a[i:j] for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), key=len)
-
-
 def _machine(x: np.ndarray, z: np.ndarray, cost: np.ndarray, rng, penalty: float = 1e-5, epochs: int = 60) -> tuple[np.ndarray, float]:
     """Linear support vector machine: weighted hinge loss by averaged subgradient steps over shuffled batches."""
     w, b = np.zeros(x.shape[1]), 0.0

@@ -1,13 +1,14 @@
 """Whole jobs against brute force where an earlier version did less."""
 
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, pii, token_counts
+from tessera.llm import bm25, pii, token_counts, toxicity
 
 
 def test_bm25_whole_text(spark):
@@ -88,3 +89,34 @@ def test_pii_longer_forms():
 )
 def test_pii_cards_and_what_looks_like_them(text, want):
     assert [(text[s:e], k) for s, e, k, _ in pii.find(text)] == want
+
+
+def brute_kernel(a, b):
+    """All pairs of equal subsequences, each weighed by the letters that it spans in both strings."""
+    spans = Counter()
+    for x, y in ((x, y) for x in combinations(range(len(a)), toxicity.LENGTH) for y in combinations(range(len(b)), toxicity.LENGTH)):
+        if all(a[i] == b[j] for i, j in zip(x, y, strict=True)):
+            spans[x[-1] - x[0] + y[-1] - y[0] + 2] += 1
+    return sum(n * toxicity.DECAY**k for k, n in spans.items())
+
+
+def test_kernel_equals_all_subsequences():
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        words = ["".join(rng.choice(list("abc"), int(rng.integers(1, 10)))) for _ in range(4)]
+        other = "".join(rng.choice(list("abcd"), int(rng.integers(1, 9))))
+        got = toxicity.kernel(toxicity.coded(words, 10), np.array([ord(c) for c in other], np.uint32))
+        assert np.allclose(got, [brute_kernel(w, other) for w in words], rtol=1e-5, atol=1e-12)
+
+
+def test_long_token_counts_by_its_best_run():
+    """An insult with letters put in is found at every place of a token of any length, across the 4,096 runs of a block too."""
+    m = toxicity.Model(["blockhead"], np.ones(1), 0.0, 1.0, 0.0)
+    insult = "b-l-o-c-k-h-e-a-d"
+    alone = m.features([insult])[0, 0]
+    assert alone > 0
+    for before in (0, 1, 11, 12, 13, 23, 4070, 4085, 4096):
+        for after in (0, 9, 30):
+            word = "x" * before + insult + "y" * after
+            assert np.isclose(m.features([word])[0, 0], alone, rtol=1e-5)
+            assert np.isclose(m.features([word])[0, 0], max(m.features([word[i : i + toxicity.WIDE]])[0, 0] for i in range(max(1, len(word) - toxicity.WIDE + 1))) if before < 100 else alone, rtol=1e-5)
