@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,31 @@ def test_ranges_equals_exhaustive():
         assert bm25.ranges(lists, n, 10) == sorted(((round(s, 9), i) for i, s in total.items()), key=lambda e: (-e[0], e[1]))[:10]
 
 
+def test_bm25_index_and_floors(spark):
+    """The index has a row per shard, and a shard returns all that reaches a query's floor and nothing below, copies and short queries included."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{int(j)}" for j in np.minimum(rng.zipf(1.2, int(rng.integers(5, 90))), 400)) + f" Own{i} é{i % 7}" for i in range(300)]
+    texts[100:130] = [texts[40]] * 30
+    index = bm25.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), shard=150).collect()
+    assert [len(r.ids) // 8 for r in index] == [150, 150]
+    shard = bm25.Shard(index[0].asDict(), 45.0)
+    at, term, _, names = bm25.tally(pa.array([texts[i] for i in range(0, 150, 5)] + ["v1 v2", "nowhere"]))
+    cut, idf = np.searchsorted(at, np.arange(33)), 1 + np.arange(len(names)) % 7 / 3
+    weight, want = dict(zip(names.to_pylist(), idf.tolist(), strict=True)), []
+    for q in [*(texts[i] for i in range(0, 150, 5)), "v1 v2", "nowhere"]:
+        asked, best = sorted(set(bm25.words(q))), []
+        for j in range(150):
+            c = Counter(bm25.words(texts[j]))
+            if got := [weight[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 45.0)) for t in asked if t in c]:
+                best.append((-round(sum(got), 9), j))
+        want.append(sorted(best)[:10])
+    for floor in (np.zeros(32), np.array([-w[min(3, len(w) - 1)][0] if w else 0.0 for w in want])):
+        got = [[] for _ in want]
+        for q, score, place in shard.pack(names, idf, term, cut, 10, floor.copy()):
+            got[q].append((round(score, 6), place))
+        assert [sorted(g) for g in got] == [sorted((round(-s, 6), j) for s, j in w if -s >= floor[q]) for q, w in enumerate(want)]
+
+
 @pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
 def test_long_runs_behind_prose(head, run):
     c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
