@@ -49,6 +49,8 @@ from tessera.llm.common import Planes, arrow_map, build_planes, flat_bytes, mix6
 LENGTH, K = 50, 16
 REACH = LENGTH - K  # bytes of a window before or behind its anchor
 ENTRIES, HOT, STRINGS = 400_000, 4_000, 4_000
+#: Parts of ``STRINGS`` strings that travel as one, so that rows on the way do not multiply with tasks and parts; bytes of strings dealt at once.
+TOGETHER, SENT = 16, 1 << 24
 MOST_CELLS = 1 << 26
 #: Bytes hashed at once, of one text at once, and combined before entries are sent.
 SLICE, RUN, FLUSH = 1 << 20, 1 << 22, 1 << 23
@@ -103,17 +105,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bucket of the ``LENGTH`` bytes at each place: equal numbers for equal strings.
 
-    ``ends``: for each place the end of its string; a place nearer to it than
-    LENGTH gets a bucket too, but no meaning.
+    ``ends``: for each place the end of its string, not read: a place nearer to it than
+    LENGTH gets a bucket too, but no meaning: its grams run into the next string.
+    All that another place is compared by lies within its own LENGTH bytes.
     """
-    n, place = len(data), np.arange(len(data))
-    key = np.zeros(n, np.uint64)
-    for j in range(8):  # initial buckets: 8-grams, zero behind the end
-        at = np.minimum(place + j, n - 1)
-        key = key << np.uint64(8) | np.where(place + j < ends, data[at], 0).astype(np.uint64)
+    n = len(data)
+    # initial buckets: 8-grams, read as big-endian numbers at each byte
+    key = np.ndarray((n,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
     pointer = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
     for offset in (8, 16, LENGTH - 32):
-        later = np.where(place + offset < ends, pointer[np.minimum(place + offset, n - 1)], 0)
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - offset)] = pointer[offset:]
         # only buckets of several suffixes are refined; others keep their place
         size = np.bincount(pointer)
         live = np.flatnonzero(size[pointer] > 1)
@@ -345,13 +347,14 @@ def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
     n = opened.agg(F.coalesce(F.sum(F.length("places") / 4), F.lit(0))).first()[0]
     if not n:
         return opened.filter("false")
-    parts = max(1, int(n) // STRINGS)
+    most, parts = STRINGS, max(1, int(n) // (STRINGS * TOGETHER))
     per_doc = opened.groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "places")).alias("found"))  # as long as the document
     joined = _suspects(docs, keys).filter("hit").select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]).join(per_doc, ["doc_id", "key"])
 
     def cut(it):
+        held: dict[int, list] = {}
+        size = 0
         for batch in (some for whole in it for some in slices(whole, 2, FLUSH // 2)):
-            held: dict[int, list] = {}
             wins: dict[bytes, tuple] = {}
             local: list[tuple[int, int, int]] = []
             for doc, key, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -360,8 +363,8 @@ def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
                     for p in np.frombuffer(f["places"], "<u4").astype(int):
                         lo, hi = max(0, p - REACH), min(len(raw), p + LENGTH)
                         if f["kind"] == 2:
-                            part = _deal(raw[p : p + K]) % parts
-                            held.setdefault(part, []).append((doc, key, lo, raw[lo:hi]))
+                            held.setdefault(_deal(raw[p : p + K]) % parts, []).append((doc, key, lo, raw[lo:hi], p - lo))
+                            size += hi - lo
                         else:
                             for at in range(lo, hi - LENGTH + 1):
                                 w = raw[at : at + LENGTH]
@@ -373,52 +376,75 @@ def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
                                 elif doc > old[0]:
                                     local.append((doc, key, at))
                                 else:
-                                    part = _deal(w) % parts
-                                    held.setdefault(part, []).append((doc, key, at, w))
+                                    held.setdefault(_deal(w) % parts, []).append((doc, key, at, w, -1))
+                                    size += LENGTH
             for w, (doc, key, at) in wins.items():
-                part = _deal(w) % parts
-                held.setdefault(part, []).append((doc, key, at, w))
+                held.setdefault(_deal(w) % parts, []).append((doc, key, at, w, -1))
+                size += LENGTH
             if local:
-                yield _strings(-1, [(d, k, a, b"") for d, k, a in local])
-            for part, strings in held.items():
-                yield _strings(part, strings)
+                yield _strings(-1, [(d, k, a, b"", -1) for d, k, a in local])
+            if size >= SENT:
+                for part, strings in held.items():
+                    yield _strings(part, strings)
+                held, size = {}, 0
+        for part, strings in held.items():
+            yield _strings(part, strings)
 
     sent = arrow_map(joined.select("doc_id", "key", "text", "found"), cut, "part long, blob binary")
     # what a batch has decided itself needs no sorting, so it need not meet either
     sent = sent.withColumn("part", F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(parts))).otherwise(F.col("part")))
 
     def sort(table: pa.Table) -> pa.Table:
-        packs = [_unpack(b, ("<i8", "<i8", "<u4", "<u4", "u1")) for b in table.column("blob").to_pylist()]
-        doc, key, at, size, data = (np.concatenate([p[i] for p in packs]) for i in range(5))
+        packs = [_unpack(b, ("<i8", "<i8", "<u4", "<u4", "u1", "u1")) for b in table.column("blob").to_pylist()]
+        doc, key, at, size, share, data = (np.concatenate([p[i] for p in packs]) for i in range(6))
         if not len(data):  # decided already
             return _dealt([(doc, key, np.ones(len(doc), "u1"), at, at + np.uint32(LENGTH))], groups)
         size = size.astype(np.int64)
-        end = np.cumsum(size)
-        of = np.repeat(np.arange(len(size)), size)
-        bucket = refine(data, end[of])
-        start = np.flatnonzero(np.arange(len(data)) + LENGTH <= end[of])
-        own = doc[of[start]]
-        number, inverse = np.unique(bucket[start], return_inverse=True)
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, own)
-        gone = start[own > least[inverse]]
-        o = of[gone]
-        place = gone - (end - size)[o] + at[o].astype(np.int64)
-        # neighbouring windows of one document as one span
-        order = np.lexsort((place, key[o], doc[o]))
-        d, k, p = doc[o][order], key[o][order], place[order]
-        lead = np.ones(len(p), bool)
-        lead[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (p[1:] > p[:-1] + 1)
-        first = np.flatnonzero(lead)
-        last = np.append(first[1:], len(p)) - 1
-        return _dealt([(d[first], k[first], np.ones(len(first), "u1"), p[first].astype("<u4"), (p[last] + LENGTH).astype("<u4"))], groups)
+        begin = np.cumsum(size) - size
+        several = len(size) > 2 * most  # strings that may share a window share an anchor, or are windows, so they have one share
+        shares = (np.flatnonzero(share == x) for x in np.unique(share)) if several else (np.arange(len(size)),)
+        found = []
+        for some in shares:
+            d, k, p = sort_share(doc[some], key[some], at[some], size[some], data if len(some) == len(size) else data[_within(begin[some], size[some])])
+            if not len(d):
+                continue
+            # neighbouring windows of one document as one span
+            order = np.lexsort((p, k, d))
+            d, k, p = d[order], k[order], p[order]
+            lead = np.ones(len(p), bool)
+            lead[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (p[1:] > p[:-1] + 1)
+            first = np.flatnonzero(lead)
+            last = np.append(first[1:], len(p)) - 1
+            found.append((d[first], k[first], np.ones(len(first), "u1"), p[first].astype("<u4"), (p[last] + LENGTH).astype("<u4")))
+        return _dealt(found, groups)
 
     return sent.groupBy("part").applyInArrow(sort, "part long, blob binary").groupBy("part").applyInArrow(_gather, FOUND)
 
 
-def _strings(part: int, strings: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    d, k, a, s = zip(*strings, strict=True)
-    blob = _pack(np.array(d, "<i8"), np.array(k, "<i8"), np.array(a, "<u4"), np.array([len(x) for x in s], "<u4"), np.frombuffer(b"".join(s), np.uint8))
+def _within(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin there and are so long."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def sort_share(doc: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, key, place) of all windows of these strings that also start in a smaller document among them."""
+    end = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    bucket = refine(data, end[of])
+    start = np.flatnonzero(np.arange(len(data)) + LENGTH <= end[of])
+    own, number = doc[of[start]], bucket[start]
+    least = np.full(len(data) + 2, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, own)
+    gone = start[own > least[number]]
+    o = of[gone]
+    return doc[o], key[o], gone - (end - size)[o] + at[o].astype(np.int64)
+
+
+def _strings(part: int, strings: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
+    """Strings (doc, key, place, bytes, where the anchor begins in them), with one of ``TOGETHER`` shares by the anchor; -1: a window, by itself."""
+    d, k, a, s, p = zip(*strings, strict=True)
+    share = [zlib.crc32(x[y : y + K] if y >= 0 else x) % TOGETHER for x, y in zip(s, p, strict=True)]
+    blob = _pack(np.array(d, "<i8"), np.array(k, "<i8"), np.array(a, "<u4"), np.array([len(x) for x in s], "<u4"), np.array(share, "u1"), np.frombuffer(b"".join(s), np.uint8))
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
 
 

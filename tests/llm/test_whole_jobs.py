@@ -4,12 +4,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, pii, token_counts, toxicity
+from tessera.llm import bm25, pii, suffix_dedup, token_counts, toxicity
 
 
 def test_bm25_whole_text(spark):
@@ -74,6 +74,25 @@ def test_bm25_index_and_floors(spark):
         assert [sorted(g) for g in got] == [sorted((round(-s, 6), j) for s, j in w if -s >= floor[q]) for q, w in enumerate(want)]
 
 
+def test_open_strings_travel_together(spark, monkeypatch):
+    """Rows on the way to the suffix sort do not multiply with its parts, and sorting a group share by share loses no repeat."""
+    rng, seen, made = np.random.default_rng(8), [], suffix_dedup.arrow_map
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 2)
+    monkeypatch.setattr(suffix_dedup, "arrow_map", lambda df, fn, schema: [out := made(df, fn, schema), schema == "part long, blob binary" and seen.append(out)][0])
+    passages = ["".join(rng.choice(list("abcdefgh é"), 120)) for _ in range(40)]
+    texts = ["".join(rng.choice(list("ijklmnop"), int(rng.integers(1, 40)))) + passages[i % 40][i % 7 : 90 + i % 29] + f"<{i}>" for i in range(200)]
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    raw, first = [t.encode() for t in texts], {}
+    for i, b in enumerate(raw):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, b in enumerate(raw):
+        gone = {j for k in range(len(b) - 49) if first[b[k : k + 50]] < i for j in range(k, k + 50)}
+        assert got[i] == bytes(x for j, x in enumerate(b) if j not in gone)
+    blobs = [r.blob for r in seen[0].collect()]
+    assert 12 * len(blobs) < sum(int.from_bytes(b[8:16], "little") // 8 for b in blobs)  # strings, by their ids
+
+
 @pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
 def test_long_runs_behind_prose(head, run):
     c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
