@@ -74,6 +74,39 @@ def test_bm25_index_and_floors(spark):
         assert [sorted(g) for g in got] == [sorted((round(-s, 6), j) for s, j in w if -s >= floor[q]) for q, w in enumerate(want)]
 
 
+def test_bm25_runs_of_postings(spark, monkeypatch):
+    """One look-up serves many packs, and however postings are cut into runs and places into ranges, a shard gives what brute force gives; a shard of empty texts gives nothing."""
+    rng, looked, plain = np.random.default_rng(9), [], bm25.pc.index_in
+    texts = [" ".join(f"{'abc'[i % 3]}{int(j)}" for j in np.minimum(rng.zipf(1.3, int(rng.integers(18, 160))), 300)) + f" own{i}" for i in range(200)]
+    texts[50:62] = [texts[3]] * 12
+    row = bm25.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).first().asDict()
+    bags = [Counter(bm25.words(t)) for t in texts]
+    monkeypatch.setattr(bm25.pc, "index_in", lambda *a, **b: [looked.append(1), plain(*a, **b)][1])
+    for take, size in ((1, 7), (300, 64), (1 << 18, 256)):
+        monkeypatch.setattr(bm25, "TAKE", take)
+        monkeypatch.setattr(bm25, "RANGE", size)
+        shard = bm25.Shard(row, 70.0)
+        asked = [bm25.tally(pa.array([texts[i] for i in range(lo, 200, 20)])) for lo in (0, 3, 10)]
+        looked.clear()
+        at = shard.find(pa.concat_arrays([a[3] for a in asked]))
+        for lo, (text, term, _, names) in zip((0, 3, 10), asked, strict=True):
+            here, at = at[: len(names)], at[len(names) :]
+            cut, idf = np.searchsorted(text, np.arange(11)), 0.5 + np.arange(len(names)) % 5 / 3
+            weight = dict(zip(names.to_pylist(), idf.tolist(), strict=True))
+            want = []
+            for i in range(lo, 200, 20):
+                scored = [(-round(sum(weight[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 70.0)) for t in sorted(bags[i]) if t in c), 9), j) for j, c in enumerate(bags)]
+                want.append(sorted(x for x in scored if x[0])[:10])
+            for floor in (np.zeros(10), np.array([-w[4][0] for w in want])):
+                got = [[] for _ in want]
+                for q, score, place in shard.found(here, idf, term, cut, 10, floor.copy()):
+                    got[q].append((round(score, 6), place))
+                assert [sorted(g) for g in got] == [sorted((round(-s, 6), j) for s, j in w if -s >= floor[q]) for q, w in enumerate(want)]
+        assert len(looked) == 1
+    none = bm25.build_index(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string").coalesce(1)).first().asDict()
+    assert list(bm25.Shard(none, 1.0).pack(pa.array(["a"]), np.ones(1), np.zeros(1, np.int32), np.array([0, 1]), 10, np.zeros(1))) == []
+
+
 def test_open_strings_travel_together(spark, monkeypatch):
     """Rows on the way to the suffix sort do not multiply with its parts, and sorting a group share by share loses no repeat."""
     rng, seen, made = np.random.default_rng(8), [], suffix_dedup.arrow_map
