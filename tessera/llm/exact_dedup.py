@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Planes, arrow_map, build_planes, session_of, stash
+from tessera.llm.common import Planes, arrow_map, build_planes, packed, row_slices, session_of, stash
 
 #: Documents that one filter covers, and cells a document.
 SLAB, CELLS = 1 << 24, 16
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def digests(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
+def digests(texts: pa.Array) -> np.ndarray:
     """(n, 32) bytes: SHA-256 of each text after lower-casing A-Z only."""
-    out = b"".join(hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").translate(_UPPER)).digest() for x in batch.column(column))
+    out = b"".join(hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").translate(_UPPER)).digest() for x in texts)
     return np.frombuffer(out, np.uint8).reshape(-1, 32)
 
 
@@ -54,12 +54,12 @@ def tag(docs: DataFrame, text: str = "text", slab: int = SLAB) -> tuple[DataFram
     rounds = max(1, -(-n // slab))
     size = max(64, CELLS * -(-n // rounds) // 8 * 8)
     texts = docs.select(F.col(text).alias("text"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    kind = T.StructType([packed.schema["row"], T.StructField("sha", T.BinaryType()), T.StructField("suspect", T.BooleanType())])
+    rows, place = packed(docs, text)
+    kind = T.StructType([rows.schema["row"], T.StructField("sha", T.BinaryType()), T.StructField("suspect", T.BooleanType())])
 
     def hashed(i):
         def f(batch):
-            a, b, c = _words(digests(batch))
+            a, b, c = _words(digests(batch.column(0)))
             mine = c % np.uint64(rounds) == i
             return a[mine], b[mine]
 
@@ -70,15 +70,15 @@ def tag(docs: DataFrame, text: str = "text", slab: int = SLAB) -> tuple[DataFram
         planes = sc.broadcast(build_planes(texts, hashed(i), size).twice)
 
         def probe(it, planes=planes, i=i):
-            for batch in it:
-                d = digests(batch, 1)
+            for batch in (some for whole in it for some in row_slices(whole, place)):
+                d = digests(batch.column(0).field(place))
                 a, b, c = _words(d)
                 mine = c % np.uint64(rounds) == i
                 hit = Planes.hit(planes.value, size, a, b)
                 got = pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(d), [None, pa.py_buffer(d.tobytes())]).cast(pa.binary()), pa.array(hit)], ["row", "sha", "suspect"])
                 yield got if rounds == 1 else got.filter(pa.array(mine))
 
-        parts.append(arrow_map(packed, probe, kind))
+        parts.append(arrow_map(rows, probe, kind))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

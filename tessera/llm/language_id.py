@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, flat_bytes, session_of, slices
+from tessera.llm.common import arrow_map, flat_bytes, packed, row_slices, session_of, slices
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 SAMPLE, WINDOWS, ALPHA, UNKNOWN = 4000, 12, 0.001, "und"
@@ -192,16 +192,16 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     from pyspark.sql import types as T
 
     shared = session_of(docs).sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    rows, place = packed(docs, text)
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def run(it):
         import regex
 
         own, letter = shared.value, regex.compile(r"\p{L}")
         for batch in it:
-            for some in slices(batch, 1):
-                texts = some.column(1)
+            for some in row_slices(batch, place):
+                texts = some.column(0).field(place)
                 has = np.array([own is not None and t is not None and bool(letter.search(t)) for t in texts.to_pylist()], bool)
                 lang, score = np.full(len(has), UNKNOWN, object), np.zeros(len(has))
                 if has.any():
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
                 accepted = has & (score >= (own.threshold if own else 0))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], ["row", "lang_pred", "score", "accepted"])
 
-    return arrow_map(packed, run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

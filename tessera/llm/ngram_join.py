@@ -33,13 +33,16 @@ probability below 1e-13.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import Planes, arrow_map, attach_groups, build_planes, discard, mix64, session_of, slices, stash
+from tessera.llm.common import Planes, arrow_map, attach_groups, build_planes, discard, mix64, session_of, ship, slices, stash
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 
@@ -139,9 +142,13 @@ class Ids:
         return batch.filter(pa.array(hit & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold, reps: Ids, doc_id: str, text: str) -> DataFrame:
-    """(h, rep, n, pos): the rarest n-grams of each set, for rows that may stand for their class."""
-    shared = session_of(docs).sparkContext.broadcast(counts)
+def _gram_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    h = batch.column(0).to_numpy().view(np.uint64)
+    return mix64(h), mix64(h + np.uint64(1))
+
+
+def prefixes(docs: DataFrame, counts: Broadcast, width: int, limit: Threshold, reps: Ids, doc_id: str, text: str, only: tuple[Broadcast, int] | None = None) -> DataFrame:
+    """(h, rep, n, pos): the rarest n-grams of each set, for rows that may stand for their class; with ``only``, those that a Bloom filter of so many cells lets pass."""
     least = limit.least
 
     def run(it):
@@ -152,14 +159,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, limit: Threshold,
                     if len(s) < least:
                         continue
                     p = limit.prefix(len(s))
-                    often = np.minimum(*(row[cell] for row, cell in zip(shared.value, _cells(s), strict=True)))
+                    often = np.minimum(*(row[cell] for row, cell in zip(counts.value, _cells(s), strict=True)))
                     order = np.lexsort((s, often))[:p]
                     hs.append(s[order].view(np.int64))
                     reps_.append(np.full(p, i))
                     ns.append(np.full(p, len(s)))
                     ps.append(np.arange(p))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (reps_, np.int64), (ns, np.int32), (ps, np.int32))], ["h", "rep", "n", "pos"])
+                    got = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (reps_, np.int64), (ns, np.int32), (ps, np.int32))], ["h", "rep", "n", "pos"])
+                    yield got.filter(pa.array(Planes.hit(only[0].value, only[1], *_gram_hashes(got)))) if only else got
 
     return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "h long, rep long, n int, pos int")
 
@@ -357,10 +365,10 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     classes = stash(rows.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n")), "classes")
     reps = stash(classes.filter(F.col("n") >= limit.least).select("rep").distinct(), "reps")
 
-    index = prefixes(docs, counts, width, limit, Ids(reps), doc_id, text)
+    index = partial(prefixes, docs, session_of(docs).sparkContext.broadcast(counts), width, limit, Ids(reps), doc_id, text)
     # an n-gram of one class only links nothing; copies that the filter of ids let pass go in ``_members``
-    groups = stash(index.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "ngrams")
-    members = _members(docs, index, groups, reps)
+    groups = stash(index().groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "ngrams")
+    members = _members(index, groups, reps)
     shared = _with_company(members, percent)
     discard(groups, members, reps)
     ranges = class_ranges(docs, stash(shared.select("rep").distinct(), "wanted"), width, doc_id, text)
@@ -408,20 +416,23 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
 
 
 def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``gone``: a Bloom filter lets the other rows pass without a shuffle, the rest are decided by a join."""
+    """``docs`` without the ids in ``gone``: a Bloom filter lets the other rows pass without a shuffle, the rest are decided by a join.
+
+    Only ids go to Python; the rows stay in the JVM.
+    """
     n = gone.count()
     if not n:
         return docs
     ids = Ids(gone.select(F.col("doc_id").cast("long")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"))
-    schema = T.StructType([packed.schema["row"], packed.schema["id"], T.StructField("maybe", T.BooleanType())])
+    ship(session_of(docs))
 
-    def probe(it):
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Planes.hit(ids.plane.value, ids.size, *_id_hashes(batch.column(1))))], ["row", "id", "maybe"])
+    @F.arrow_udf("boolean")
+    def maybe(x: pa.Array) -> pa.Array:
+        return pa.array(Planes.hit(ids.plane.value, ids.size, *_id_hashes(x)))
 
-    marked = arrow_map(packed, probe, schema)
-    decided = marked.filter("maybe").join(gone.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("row"), F.col(doc_id).cast("long").alias("id")).withColumn("maybe", maybe.asNondeterministic()("id"))
+    decided = marked.filter("maybe").join(gone.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_anti")
     return marked.filter("not maybe").select("row.*").unionByName(decided.select("row.*"))
 
 
@@ -440,20 +451,16 @@ def _with_company(shared: DataFrame, percent: int) -> DataFrame:
     return stash(kept.select("h", "rep", "n", "pos", "band"), "company")
 
 
-def _members(docs: DataFrame, index: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of ``index`` whose n-gram is in ``groups`` and whose document stands for its class, once each."""
+def _members(index: Callable[..., DataFrame], groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of ``index`` (``prefixes`` of all but ``only``) whose n-gram is in ``groups`` and whose document stands for its class, once each.
+
+    The worker that makes the rows drops those of other n-grams, and what is left is stored, as the join reads it twice.
+    """
     counted = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
     size = min(MOST_CELLS, max(64, 16 * counted.n // 8 * 8))
-
-    def keys(batch):
-        h = batch.column(0).to_numpy().view(np.uint64)
-        return mix64(h), mix64(h + np.uint64(1))
-
-    plane = session_of(docs).sparkContext.broadcast(build_planes(groups.select("h"), keys, size).once)
-
-    def probe(it):
-        for batch in it:
-            yield batch.filter(pa.array(Planes.hit(plane.value, size, *keys(batch))))
-
-    rows = attach_groups(arrow_map(index, probe, index.schema), groups, ["h"], "members", counted.rows).filter("members is not null")
-    return stash(rows.select("h", "rep", "n", "pos").join(reps, "rep", "left_semi").distinct(), "shared")
+    plane = session_of(groups).sparkContext.broadcast(build_planes(groups.select("h"), _gram_hashes, size).once)
+    some = stash(index(only=(plane, size)), "prefixes")
+    rows = attach_groups(some, groups, ["h"], "members", counted.rows).filter("members is not null")
+    out = stash(rows.select("h", "rep", "n", "pos").join(reps, "rep", "left_semi").distinct(), "shared")
+    discard(some)
+    return out

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, session_of, slices, stash
+from tessera.llm.common import arrow_map, packed, row_slices, session_of, slices, stash
 
 BROADCAST, ATTEMPTS = 100_000, 64
 
@@ -343,31 +343,32 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
     """``docs`` as (row, new_text, n_replaced): row has all columns with the text as it was."""
     spark = session_of(docs)
     odd = stash(exceptions(stash(entities(docs, text), "entities"), key), "exceptions")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("new_text", T.StringType()), T.StructField("n_replaced", T.LongType())])
+    rows, place = packed(docs, text)
+    schema = T.StructType([rows.schema["row"], T.StructField("new_text", T.StringType()), T.StructField("n_replaced", T.LongType())])
     if odd.count() <= most:
         known = spark.sparkContext.broadcast({(r.kind, r.canonical): (r.own, r.attempt) for r in odd.collect()})
 
         def run(it):
-            for batch in (some for whole in it for some in slices(whole, 1)):
-                got = [replace(t, key, known.value) for t in batch.column(1).to_pylist()]
+            for batch in (some for whole in it for some in row_slices(whole, place)):
+                got = [replace(t, key, known.value) for t in batch.column(0).field(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["row", "new_text", "n_replaced"])
 
-        return arrow_map(packed, run, schema)
+        return arrow_map(rows, run, schema)
 
-    keyed = stash(packed.withColumn("place", F.monotonically_increasing_id()), "rows")
+    keyed = stash(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    own_text = F.col(f"row.`{docs.columns[place]}`").alias("text")
 
     def mentions(it):
         for batch in (some for whole in it for some in slices(whole, 1)):
             got = [(p, k, c) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k, c in {(k, c) for _, _, k, c in find(t)}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[i] for x in got], pa.string()) for i in (1, 2))], ["place", "kind", "canonical"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[i] for x in got], pa.string()) for i in (1, 2))], ["id", "kind", "canonical"])
 
-    need = arrow_map(keyed.select("place", "text"), mentions, "place long, kind string, canonical string").join(odd, ["kind", "canonical"])
-    need = need.groupBy("place").agg(F.collect_list(F.struct("kind", "canonical", "own", "attempt")).alias("odd"))  # at most the mentions of one text
+    need = arrow_map(keyed.select("id", own_text), mentions, "id long, kind string, canonical string").join(odd, ["kind", "canonical"])
+    need = need.groupBy("id").agg(F.collect_list(F.struct("kind", "canonical", "own", "attempt")).alias("odd"))  # at most the mentions of one text
 
     def run_own(it):
-        for batch in (some for whole in it for some in slices(whole, 1)):
-            got = [replace(t, key, {(x["kind"], x["canonical"]): (x["own"], x["attempt"]) for x in o or ()}) for t, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        for batch in (some for whole in it for some in row_slices(whole, place)):
+            got = [replace(t, key, {(x["kind"], x["canonical"]): (x["own"], x["attempt"]) for x in o or ()}) for t, o in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["row", "new_text", "n_replaced"])
 
-    return arrow_map(keyed.join(need, "place", "left").select("row", "text", "odd"), run_own, schema)
+    return arrow_map(keyed.join(need, "id", "left").select("row", "odd"), run_own, schema)
