@@ -107,6 +107,28 @@ def test_bm25_runs_of_postings(spark, monkeypatch):
     assert list(bm25.Shard(none, 1.0).pack(pa.array(["a"]), np.ones(1), np.zeros(1, np.int32), np.array([0, 1]), 10, np.zeros(1))) == []
 
 
+def test_bm25_memory_of_a_shard(spark):
+    """A shard takes few bytes for each posting, while it is made, kept and searched; every shard has a file of its own, whatever task made it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 30_000, 400)) for _ in range(1200)]
+    index = bm25.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), shard=600)
+    assert len(index.inputFiles()) == index.count() == 2
+    row = index.first().asDict()
+    at, term, _, names = bm25.tally(pa.array(texts[:300]))
+    cut, postings = np.searchsorted(at, np.arange(301)), len(row["docs"]) // 4
+    tracemalloc.start()
+    shard = bm25.Shard(row, 400.0)
+    kept, made = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    got = sum(1 for _ in shard.pack(names, np.ones(len(names)), term, cut, 10, np.zeros(300)))
+    searched = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 3000
+    assert kept < 36 * postings and made < 60 * postings and searched < kept + 20e6, (kept / postings, made / postings, searched)
+
+
 def test_open_strings_travel_together(spark, monkeypatch):
     """Rows on the way to the suffix sort do not multiply with its parts, and sorting a group share by share loses no repeat."""
     rng, seen, made = np.random.default_rng(8), [], suffix_dedup.arrow_map
