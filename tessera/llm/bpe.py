@@ -18,6 +18,7 @@ default; ids may be null or repeat; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from operator import itemgetter
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, kept, slices
 
 WIDE = 256
+#: Leaves of the trees that advance together, so that they stay in a cache.
+CELLS = 1 << 16
 NONE = np.int64(1) << 60
 _SPACE = re.compile(r"\s\s")
 #: The published splitting rule of this kind of vocabulary, with white space as Unicode defines it.
@@ -56,10 +59,12 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.first = self.rank(*np.meshgrid(self.byte_id, self.byte_id, indexing="ij")).ravel()  # of two bytes
         back = {c: b for b, c in enumerate(letters)}
         self.token = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token |= {i: t.encode() for t, i in self.special.items()}
+        self.name = {i: str(i) for i in self.token}
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.most, self.new, self.old = most, {}, {}
@@ -72,23 +77,23 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
         width: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > WIDE:
-                out[i] = self.encode_wide(w)
+                out[i] = self.encode_wide(w).tolist()
             else:
                 width.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for n, some in width.items():
-            step = max(1, (1 << 18) // n)
+            step = max(1, CELLS // n)
             for k in range(0, len(some), step):
                 part = some[k : k + step]
                 for i, ids in zip(part, self._forest([words[i] for i in part], n), strict=True):
                     out[i] = ids
         return out
 
-    def _forest(self, words: list[bytes], n: int) -> list[np.ndarray]:
+    def _forest(self, words: list[bytes], n: int) -> list[list[int]]:
         """Words of at most ``n`` (a power of two) bytes: one tree a row."""
         rows, size = len(words), np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(w.ljust(n, b"\0") for w in words), np.uint8).reshape(rows, n)
@@ -96,7 +101,7 @@ class Codec:
         inside = place < size[:, None]
         after, before = np.tile(place + 1, (rows, 1)), np.tile(place - 1, (rows, 1))
         tree = np.full((rows, 2 * n), NONE * 2)
-        r = self.rank(ids[:, :-1], ids[:, 1:])
+        r = self.first[flat[:, :-1].astype(np.uint16) << 8 | flat[:, 1:]]
         tree[:, n : 2 * n - 1] = np.where((r < NONE) & inside[:, 1:], r * n + place[:-1], NONE * 2)
         for level in range(n - 1, 0, -1):
             tree[:, level] = np.minimum(tree[:, 2 * level], tree[:, 2 * level + 1])
@@ -130,7 +135,8 @@ class Codec:
                 r = self.rank(ids[own, at], ids[own, left[has]])
                 put(own, at, np.where(r >= NONE, NONE * 2, r * n + at))
             row = row[tree[row, 1] < NONE]
-        return [ids[i, inside[i]] for i in range(rows)]
+        left, ends = ids[inside].tolist(), np.cumsum(inside.sum(axis=1)).tolist()
+        return [left[a:b] for a, b in itertools.pairwise([0, *ends])]
 
     def encode_wide(self, word: bytes) -> np.ndarray:
         """One word with a tree of its own, in plain Python: n log n for n bytes."""
@@ -214,12 +220,14 @@ class Codec:
                 self.new[u] = got
             else:
                 missing.append(u)
-        words = [self.split.findall(u) for u in missing]
-        distinct = list({w for ws in words for w in ws})
-        ids = dict(zip(distinct, (x.tolist() for x in self.encode_words([w.encode() for w in distinct])), strict=True))
+        split = self.split.findall
+        words = [[u] if (u[1:] if u[0] == " " else u).isalpha() else split(u) for u in missing]  # letters, behind a space or not, are one word by the rule
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(words)))
+        ids = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]), strict=True))
+        new, name, token = self.new, self.name.__getitem__, self.token.__getitem__
         for u, ws in zip(missing, words, strict=True):
-            got = [i for w in ws for i in ids[w]]
-            self.new[u] = (",".join(map(str, got)), len(got), self.decode_bytes(got))
+            got = ids[u] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            new[u] = (",".join(map(name, got)), len(got), b"".join(map(token, got)))
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """Per text the entries (decimal ids joined by commas, number of ids, bytes that they decode to) of its pieces in order."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, pii, suffix_dedup, token_counts, toxicity
+from tessera.llm import bm25, bpe, pii, suffix_dedup, token_counts, toxicity
 
 
 def test_bm25_whole_text(spark):
@@ -129,6 +129,21 @@ def test_bm25_memory_of_a_shard(spark):
     assert kept < 36 * postings and made < 60 * postings and searched < kept + 20e6, (kept / postings, made / postings, searched)
 
 
+def test_bpe_words_of_letters_skip_the_rule(monkeypatch):
+    """Units of letters alone are words without a match of the splitting rule, and the ranks of pairs of bytes are looked up once; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain, asked = bpe.Codec(path), Tokenizer.from_file(path), []
+    matches, ranked = own.split.findall, []
+    monkeypatch.setattr(own, "split", type("Rule", (), {"findall": staticmethod(lambda t: [asked.append(t), matches(t)][1])}))
+    monkeypatch.setattr(own, "rank", lambda a, b, f=own.rank: [ranked.append(a.ndim), f(a, b)][1])
+    texts = ["Plain words Äpfel слово 東京語 ﬁn\nʰmodifier ªº", "it's don't x2 ² ½ a_b \u0301e ٣ \U00010400\U0001d7d8 \u2028x ǅ", "x" * 300 + " y" * 3, " ", "", "a  b \t c", "\u00a0nbsp \u3000wide"]
+    assert [[int(i) for part, _, _ in x for i in part.split(",") if i] for x in own.encode_batch(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not any(t.removeprefix(" ").isalpha() for t in asked if "  " not in t and "\t" not in t)
+    assert 2 not in ranked
+
+
 def test_open_strings_travel_together(spark, monkeypatch):
     """Rows on the way to the suffix sort do not multiply with its parts, and sorting a group share by share loses no repeat."""
     rng, seen, made = np.random.default_rng(8), [], suffix_dedup.arrow_map
