@@ -10,8 +10,10 @@ document with a smaller id.  All strings are judged on the input.
    neighbourhoods are one entry, that of the smallest id; the others are repeats
    already.  Entries are shuffled as packed arrays by anchor hash.
 2. An entry with the neighbourhood of a smaller id is a repeat as a whole.  What
-   else shares its anchor with another neighbourhood is open: only some of its
-   windows may repeat.  An anchor that no other document has is done.
+   else shares its anchor with another neighbourhood is open, if it shares the
+   bytes before or behind the anchor too: each window has at least half of REACH
+   of one or the other.  Only some of its windows may repeat.  An entry that
+   shares neither with another document is done.
 3. Open neighbourhoods (the edges of repeated passages) are cut out of the texts
    and suffix-sorted together with all others of their anchor by bucket-pointer
    refinement: buckets of 8-grams are refined by sorting on the bucket of the
@@ -22,8 +24,8 @@ document with a smaller id.  All strings are judged on the input.
 
 Skew: entries are combined before the shuffle, so an anchor of a third of all
 documents sends one entry a batch and neighbourhood.  An anchor with more than
-``HOT`` different neighbourhoods is compared window by window: its windows are
-dealt by their own hash, combined per batch in the same way.  Texts are shuffled
+``HOT`` open neighbourhoods is compared window by window: its windows are
+dealt by their own hash, combined per batch in the same way, and need no sorting by suffixes.  Texts are shuffled
 only for documents that have something to compare or to remove; a Bloom filter of at most
 8 MB lets the others pass.
 
@@ -48,7 +50,7 @@ from tessera.llm.common import Planes, arrow_map, build_planes, flat_bytes, mix6
 
 LENGTH, K = 50, 16
 REACH = LENGTH - K  # bytes of a window before or behind its anchor
-ENTRIES, HOT, STRINGS = 400_000, 4_000, 4_000
+ENTRIES, HOT, STRINGS = 400_000, 12_000, 4_000
 #: Parts of ``STRINGS`` strings that travel as one, so that rows on the way do not multiply with tasks and parts; bytes of strings dealt at once.
 TOGETHER, SENT = 16, 1 << 24
 MOST_CELLS = 1 << 26
@@ -77,11 +79,14 @@ class Hasher:
         return mix64((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the flat data, text, anchor hash, neighbourhood hash) of all anchors of all texts; fewer than 16 MB at once."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the flat data, text, anchor hash, neighbourhood hash, sides) of all anchors of all texts; fewer than 16 MB at once.
+
+    ``sides``: 16 bits of the hash of the REACH // 2 bytes before the anchor, and of those behind it; 0 where a text has fewer.
+    """
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros((2, 0), np.uint16),)
     h, at = Hasher(data), np.arange(n - K + 1)
     gram = h(at, at + K)
     order = (gram & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
@@ -99,7 +104,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of = of_byte[place]
     start, stop = np.maximum(place - REACH, offsets[of]), np.minimum(place + LENGTH, offsets[of + 1])
     around = h(start, stop) ^ mix64((place - start).astype(np.uint64) + np.uint64(77))
-    return place, of, gram[place], around
+    sides = np.zeros((2, len(place)), np.uint16)
+    for side, a, b in ((0, place - REACH // 2, place), (1, place + K, place + K + REACH // 2)):
+        whole = np.flatnonzero((a >= offsets[of]) & (b <= offsets[of + 1]))
+        sides[side, whole] = h(a[whole], b[whole]) % np.uint64(65535) + np.uint64(1)
+    return place, of, gram[place], around, sides
 
 
 def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -112,26 +121,32 @@ def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     # initial buckets: 8-grams, read as big-endian numbers at each byte
     key = np.ndarray((n,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
-    pointer = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    order = np.argsort(key)
+    key = key[order]
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[:n], dtype=np.int32)
+    del key, order
     for offset in (8, 16, LENGTH - 32):
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - offset)] = pointer[offset:]
         # only buckets of several suffixes are refined; others keep their place
-        size = np.bincount(pointer)
+        size = np.bincount(pointer).astype(np.int32)
         live = np.flatnonzero(size[pointer] > 1)
-        pair = pointer[live] * np.int64(n + 2) + later[live]
+        pair = pointer[live] * np.int64(n + 2)
+        inside = live < n - offset
+        pair[inside] += pointer[live[inside] + offset]
         order = np.argsort(pair)  # ties are one bucket, so their order is of no matter
-        fresh = np.concatenate([[True], np.diff(pair[order]) != 0]) if len(order) else np.zeros(0, bool)
-        own = pointer[live][order]
-        head = np.concatenate([[True], np.diff(own) != 0]) if len(order) else np.zeros(0, bool)
+        pair, live = pair[order], live[order]
+        del order, inside
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+        del pair
+        own = pointer[live]
+        head = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        del own
         # new pointer: the old bucket's first place plus the suffixes before the new bucket
-        starts = np.cumsum(size) - size
-        rank = np.arange(len(order))
-        begin = np.maximum.accumulate(np.where(head, rank, 0)) if len(order) else rank
-        inner = np.maximum.accumulate(np.where(fresh, rank, 0)) - begin if len(order) else rank
-        fixed = starts[pointer] + 1
-        fixed[live[order]] += inner
-        pointer = fixed
+        rank = np.arange(len(live), dtype=np.int32)
+        inner = np.maximum.accumulate(np.where(fresh, rank, 0))
+        inner -= np.maximum.accumulate(np.where(head, rank, 0))
+        pointer = (np.cumsum(size, dtype=np.int32) - size + 1)[pointer]
+        pointer[live] += inner
     return pointer
 
 
@@ -184,9 +199,21 @@ def _first_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _alike(group: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an entry of another document has the same group and side; never where the side is 0."""
+    order = np.lexsort((side, group))
+    first = np.flatnonzero(_first_of(order, group, side))
+    n = np.diff(np.append(first, len(order)))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first), n)
+    return out & (side != 0)
+
+
 def _dealt(found: list[tuple], parts: int) -> pa.Table:
     """(part, blob) of found entries (doc, key, kind, two numbers), packed for ``parts`` groups of documents: rows do not multiply with the number of tasks."""
     out: dict[str, list] = {"part": [], "blob": []}
+    found = [x for x in found if len(x[0])]
     if found:
         doc, key, kind, x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         part = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -228,13 +255,13 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
                     # a longer text is taken in runs that overlap by a window
                     piece = data if len(data) <= RUN else data[lo : lo + RUN]
                     ends = offsets if len(data) <= RUN else np.array([0, len(piece)])
-                    place, of, h, c = anchors(piece, ends)
+                    place, of, h, c, sides = anchors(piece, ends)
                     at = place - ends[of] + lo
                     # a neighbourhood cut by the end of a run equals no other, so its windows are compared one by one
                     cut = ((place < REACH) & (lo > 0)) | ((place + LENGTH > len(piece)) & (lo + len(piece) < len(data)) & (len(data) > RUN))
                     c = np.where(cut, mix64(key[of].view(np.uint64) ^ mix64(at.astype(np.uint64))), c)
                     span = np.stack([np.maximum(place - REACH, ends[of]), np.minimum(place + LENGTH, ends[of + 1])], axis=1) - ends[of][:, None] + lo
-                    held.append((doc[of].astype(np.int64), key[of], h, c, at, span))
+                    held.append((doc[of].astype(np.int64), key[of], h, c, at, span, *sides))
                     size += len(piece)
                     if size >= FLUSH:
                         yield from flush(held)
@@ -243,7 +270,7 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
             yield from flush(held)
 
     def flush(held):
-        doc, key, h, c, place, span = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, key, h, c, place, span, before, behind = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, c, h))
         new = _first_of(order, h, c)
         least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
@@ -273,7 +300,7 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
             lead = _first_of(np.arange(len(s)), doc[s], key[s])
             p = place[s].astype("<u4")
             # columns apart, so that equal high halves and flags compress away
-            yield _rows(part[a : a + 1], [_pack(doc[s][lead], key[s][lead], np.diff(np.append(np.flatnonzero(lead), len(s))).astype("<u4"), h[s].astype("<u4"), c[s], (p & 0xFFFF).astype("<u2"), (p >> 16).astype("<u2"), f)], 0)
+            yield _rows(part[a : a + 1], [_pack(doc[s][lead], key[s][lead], np.diff(np.append(np.flatnonzero(lead), len(s))).astype("<u4"), h[s].astype("<u4"), c[s], (p & 0xFFFF).astype("<u2"), (p >> 16).astype("<u2"), f, before[s].astype("<u2"), behind[s].astype("<u2"))], 0)
 
     sent = arrow_map(docs, run, "part long, kind int, blob binary")
 
@@ -289,11 +316,11 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
                 p = p.reshape(-1, 2) if kind == 1 else np.stack([p, p], axis=1)
                 add(np.repeat(d, len(p)), np.repeat(k, len(p)), kind, p[:, 0], p[:, 1])
             else:
-                packs.append(_unpack(blob, ("<i8", "<i8", "<u4", "<u4", "<u8", "<u2", "<u2", "u1")))
+                packs.append(_unpack(blob, ("<i8", "<i8", "<u4", "<u4", "<u8", "<u2", "<u2", "u1", "<u2", "<u2")))
         if packs:
             doc = np.concatenate([np.repeat(p[0], p[2]) for p in packs])
             key = np.concatenate([np.repeat(p[1], p[2]) for p in packs])
-            h, c, low, high, flag = (np.concatenate([p[i] for p in packs]) for i in range(3, 8))
+            h, c, low, high, flag, *sides = (np.concatenate([p[i] for p in packs]) for i in range(3, 10))
             place = low.astype(np.int64) | high.astype(np.int64) << 16
             order = np.lexsort((doc, c, h))
             group = np.cumsum(_first_of(order, h)) - 1
@@ -308,7 +335,12 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
             least = d[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             whole = (d > least) & (flag[order] == 0)
             is_open = ~whole & ((lo < hi) | marked)[group] & ((kinds > 1) | marked)[group] & (flag[order] == 0)
-            is_hot = is_open & ((kinds > HOT) | marked)[group]
+            some = np.flatnonzero(is_open)
+            alike = marked[group[some]]
+            for side in sides:
+                alike |= _alike(group[some], side[order[some]], d[some])
+            is_open[some] = alike
+            is_hot = is_open & ((np.bincount(group, weights=is_open) > HOT) | marked)[group]
             for kind, mask in ((4, whole), (2, is_open & ~is_hot), (3, is_hot)):
                 some = order[mask]
                 add(doc[some], key[some], kind, place[some], place[some])
@@ -344,7 +376,8 @@ def _deal(x: bytes) -> int:
 def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
     """Step 3: FOUND rows of kind 1 from the open anchors (doc_id, key, kind, places)."""
     keys = stash(opened.select("doc_id", "key").distinct(), "open_keys")
-    n = opened.agg(F.coalesce(F.sum(F.length("places") / 4), F.lit(0))).first()[0]
+    strings = F.length("places") / 4 * F.when(F.col("kind") == 3, REACH + 1).otherwise(1)
+    n = opened.agg(F.coalesce(F.sum(strings), F.lit(0))).first()[0]
     if not n:
         return opened.filter("false")
     most, parts = STRINGS, max(1, int(n) // (STRINGS * TOGETHER))
@@ -402,10 +435,11 @@ def open_spans(docs: DataFrame, opened: DataFrame, groups: int) -> DataFrame:
         size = size.astype(np.int64)
         begin = np.cumsum(size) - size
         several = len(size) > 2 * most  # strings that may share a window share an anchor, or are windows, so they have one share
-        shares = (np.flatnonzero(share == x) for x in np.unique(share)) if several else (np.arange(len(size)),)
+        shares = [np.flatnonzero(share == x) for x in np.unique(share)] if several else [np.flatnonzero(share < TOGETHER), np.flatnonzero(share >= TOGETHER)]
         found = []
-        for some in shares:
-            d, k, p = sort_share(doc[some], key[some], at[some], size[some], data if len(some) == len(size) else data[_within(begin[some], size[some])])
+        for some in (x for x in shares if len(x)):
+            of = group_windows if share[some[0]] >= TOGETHER else sort_share
+            d, k, p = of(doc[some], key[some], at[some], size[some], data if len(some) == len(size) else data[_within(begin[some], size[some])])
             if not len(d):
                 continue
             # neighbouring windows of one document as one span
@@ -440,10 +474,23 @@ def sort_share(doc: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarra
     return doc[o], key[o], gone - (end - size)[o] + at[o].astype(np.int64)
 
 
+def group_windows(doc: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sort_share`` for strings of one window each: equal hashes, then equal bytes."""
+    rows, x = data.reshape(-1, LENGTH), np.zeros(len(doc), np.uint64)
+    for a in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        x = mix64(x ^ np.ascontiguousarray(rows[:, a : a + 8]).view(np.uint64)[:, 0])
+    order = np.lexsort((doc, x))
+    head = order[np.maximum.accumulate(np.where(_first_of(order, x), np.arange(len(order)), 0))]
+    if (rows[order] != rows[head]).any():  # two strings of one hash
+        return sort_share(doc, key, at, size, data)
+    gone = order[doc[order] > doc[head]]
+    return doc[gone], key[gone], at[gone].astype(np.int64)
+
+
 def _strings(part: int, strings: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
-    """Strings (doc, key, place, bytes, where the anchor begins in them), with one of ``TOGETHER`` shares by the anchor; -1: a window, by itself."""
+    """Strings (doc, key, place, bytes, where the anchor begins in them), with one of ``TOGETHER`` shares by the anchor; -1: a window, with one of as many further shares by itself."""
     d, k, a, s, p = zip(*strings, strict=True)
-    share = [zlib.crc32(x[y : y + K] if y >= 0 else x) % TOGETHER for x, y in zip(s, p, strict=True)]
+    share = [zlib.crc32(x[y : y + K]) % TOGETHER if y >= 0 else zlib.crc32(x) % TOGETHER + TOGETHER for x, y in zip(s, p, strict=True)]
     blob = _pack(np.array(d, "<i8"), np.array(k, "<i8"), np.array(a, "<u4"), np.array([len(x) for x in s], "<u4"), np.array(share, "u1"), np.frombuffer(b"".join(s), np.uint8))
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
 

@@ -163,6 +163,37 @@ def test_open_strings_travel_together(spark, monkeypatch):
     assert 12 * len(blobs) < sum(int.from_bytes(b[8:16], "little") // 8 for b in blobs)  # strings, by their ids
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_only_anchors_with_equal_sides_are_open(spark, monkeypatch, hot):
+    """A short string that many documents share opens nothing; a passage that begins and ends anywhere in a window loses nothing."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    short = word(30)
+    texts = [word(60) + short + word(60) for _ in range(60)]
+    found = suffix_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2)
+    assert found.filter("kind in (2, 3)").count() == 0 or hot == 3  # more in one batch than that go window by window unseen
+    passage = word(120)
+    texts += [word(i % 70) + passage[i : i + 50 + i % 5] + word(70 - i % 70) for i in range(70)] + [passage[i:] for i in range(0, 70, 9)]
+    raw, first = [t.encode() for t in texts], {}
+    for i, b in enumerate(raw):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, b in enumerate(raw):
+        gone = {j for k in range(len(b) - 49) if first[b[k : k + 50]] < i for j in range(k, k + 50)}
+        assert got[i] == bytes(x for j, x in enumerate(b) if j not in gone)
+
+
+def test_windows_are_grouped_without_suffixes():
+    rng = np.random.default_rng(10)
+    rows = rng.integers(0, 256, (300, 50)).astype(np.uint8)[rng.integers(0, 300, 4000)]
+    doc, at = rng.integers(0, 500, 4000), rng.integers(0, 900, 4000).astype("<u4")
+    given = doc, doc + 1, at, np.full(4000, 50), rows.ravel()
+    one, two = (sorted(zip(*(x.tolist() for x in f(*given)), strict=True)) for f in (suffix_dedup.group_windows, suffix_dedup.sort_share))
+    assert one == two and len(one) > 3000
+
+
 @pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
 def test_long_runs_behind_prose(head, run):
     c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
