@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, flat_bytes, packed, row_slices, session_of, slices
+from tessera.llm.common import arrow_map, flat_bytes, packed, release, row_slices, session_of, slices
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 SAMPLE, WINDOWS, ALPHA, UNKNOWN = 4000, 12, 0.001, "und"
@@ -171,6 +171,8 @@ def fit(docs: DataFrame, learn_from, sample: int = SAMPLE, alpha: float = ALPHA,
     some = arrow_map(sampled(labelled.filter(~held), 0.9), cut, "draw long, id string, lang string, pieces array<binary>")
     rows = some.orderBy("draw", "id", "pieces").limit(2 * sample).collect()
     model = train([list(map(bytes, r.pieces)) for r in rows], [r.lang for r in rows])
+    del rows
+    release()  # the driver keeps running
     if model is None:
         return None
     shared, number = session_of(docs).sparkContext.broadcast(model), {x: i for i, x in enumerate(model.languages)}
@@ -184,6 +186,8 @@ def fit(docs: DataFrame, learn_from, sample: int = SAMPLE, alpha: float = ALPHA,
     some = arrow_map(sampled(labelled.filter(held), 0.1), score, "draw long, id string, lang string, logits array<double>")
     rows = [r for r in some.orderBy("draw", "id", "lang", "logits").limit(2 * sample).collect() if r.lang in number]
     calibrate(model, np.array([r.logits for r in rows]).reshape(len(rows), -1), np.array([number[r.lang] for r in rows], np.int64), alpha)
+    del rows
+    release()
     return model
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, bpe, pii, suffix_dedup, token_counts, toxicity
+from tessera.llm import bm25, bpe, components, pii, suffix_dedup, token_counts, toxicity
 
 
 def test_bm25_whole_text(spark):
@@ -194,6 +194,29 @@ def test_windows_are_grouped_without_suffixes():
     assert one == two and len(one) > 3000
 
 
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_of_few_links_cost_the_driver_few_jobs(spark, monkeypatch, few):
+    """Both ways: long chains, a star, a ring, negative ids, repeated links, links with null and with itself."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(components, "FEW", few)
+    name = rng.permutation(900) - 300
+    links = [(i, i + 1) for i in range(200)] + [(300, i) for i in range(301, 400)] + [(500 + i, 500 + (i + 1) % 50) for i in range(50)] + [(i, i + 1) for i in range(600, 800, 3)]
+    rows = [tuple(map(int, name[list(x)])) for x in links] + [(None, 5), (7, 7), None, tuple(map(int, name[[0, 1]]))]
+    rows = [x for x in rows if x]
+    group = {int(n): int(n) for n in name}
+    for _ in range(300):
+        for a, b in rows:
+            if a is not None:
+                group[a] = group[b] = min(group[a], group[b])
+    ends = {x for a, b in rows if a is not None and a != b for x in (a, b)}
+    spark.sparkContext.setJobGroup(f"components{few}", "")
+    got = [tuple(r) for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components{few}"))
+    assert sorted(got) == sorted((x, group[x]) for x in ends)
+    assert jobs < 12 if few else jobs > 20
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
 def test_long_runs_behind_prose(head, run):
     c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
