@@ -8,12 +8,15 @@ against brute-force versions of its stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, ngram_join, packing, pii
-from tessera.llm.common import stash
+from tessera.llm.common import small_batches, stash
 from tessera.llm.queries import PII_KEY
 
 ORACLE_SQL = None
@@ -56,12 +59,26 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pieces.select("sequence_id", "offset", "doc_id", "start", "length", "doc_tokens", "ids")
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """All stages run on the same executors, which keep what the largest of them took."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_copies),
-    ("ngram_join", drop_near_copies),
-    ("pii", replace_personal_data),
-    ("packing", pack_sequences),
+    (name, in_small_batches(stage))
+    for name, stage in [
+        ("language_id", identify_language),
+        ("exact_dedup", drop_copies),
+        ("ngram_join", drop_near_copies),
+        ("pii", replace_personal_data),
+        ("packing", pack_sequences),
+    ]
 ]
 
 

@@ -47,7 +47,7 @@ class WordEncoder:
 
     TAIL = ".,;:!?"
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -3,13 +3,14 @@
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bm25, bpe, components, pii, suffix_dedup, token_counts, toxicity
+from tessera.llm import bm25, bpe, common, components, packing, pii, suffix_dedup, token_counts, toxicity
 
 
 def test_bm25_whole_text(spark):
@@ -217,6 +218,49 @@ def test_components_of_few_links_cost_the_driver_few_jobs(spark, monkeypatch, fe
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    """A split of the input goes to Python a few MB at a time, and a limit that the session has is left as it is."""
+    key, made = "spark.sql.execution.arrow.maxBytesPerBatch", packing.arrow_map
+    before = spark.conf.get(key, None)
+
+    def watched(df, fn, schema):
+        def run(it):
+            def small():
+                for batch in it:
+                    assert batch.nbytes < 3 << 20, batch.nbytes
+                    yield batch
+
+            yield from fn(small())
+
+        return made(df, run, schema)
+
+    monkeypatch.setattr(packing, "arrow_map", watched)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 600), F.col("id").cast("string")).alias("text"))
+    try:
+        spark.conf.unset(key)
+        assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").agg(F.countDistinct("doc_id"), F.sum("length")).first()[0] == 4000
+        spark.conf.set(key, "12345")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
+
+
+def test_words_kept_by_the_encoder_are_few():
+    """Words that never come again are forgotten after two generations; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for k in range(6):
+        text = " ".join(f"q{chr(97 + k)}" + "".join(chr(97 + i // 26**j % 26) for j in range(4)) for i in range(60_000))
+        got = own.encode(pa.array([text]))[0]
+        assert len(own.parts) + len(own.old) < 330_000
+    assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("head,run", [(10_003, "=" * 30_000), (9_993, "-" * 30_000), (20_005, "a" * 60_000), (10_003, "." * 30_000), (10_003, " " * 30_000), (16_389, "ab" * 20_000)])
 def test_long_runs_behind_prose(head, run):
     c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
